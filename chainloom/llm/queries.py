@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import bpe, simhash, substring_dedup
+from chainloom.llm import bpe, decontaminate, simhash, substring_dedup, toxicity
 from chainloom.llm.common import table
 
 #: Parameter: the folder of vocabulary files, which must be readable on every executor.
@@ -23,15 +23,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", big.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model that never saw held-out labels."""
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.with_scores(docs.select("doc_id", "text"), scorer)
+    return rows.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that start earlier elsewhere go."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20, keep_text=False)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a 10-word window of a benchmark item."""
+    rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with the byte-level vocabulary and decoded again."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_substring_dedup": op7_substring_dedup, "op9_bpe": op9_bpe}
+QUERIES = {"op1_simhash": op1_simhash, "op5_toxicity": op5_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe}
 SQL: dict[str, str] = {}

@@ -305,12 +305,17 @@ def kept_words(words: list[bytes], spans: list) -> tuple[list[bytes], int]:
     return out, len(words) - len(out)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True) -> DataFrame:
-    """One row for each row of ``df``: (id, n_words, n_removed, kept_text or kept_sha256)."""
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``df``: (id, n_words, n_removed, kept_text or kept_sha256, then ``carry``).
+
+    The columns named in ``carry`` pass through; their names must differ from the others.
+    """
+    carry = list(carry or [])
     spans = repeated_spans(df, id_col, text_col, window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    joined = docs.join(spans, F.col("doc").cast("long") == spans["id"], "left").select("doc", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    passed = [f"pass_{i}" for i in range(len(carry))]
+    docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(p) for c, p in zip(carry, passed, strict=True)])
+    joined = docs.join(spans, F.col("doc").cast("long") == spans["id"], "left").select("doc", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), *passed)
 
     def run(batches):
         for batch in batches:
@@ -320,7 +325,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 left, gone = kept_words(words, list(zip(starts.as_py(), stops.as_py(), strict=True)) if starts.is_valid else [])
                 out = b" ".join(left)
                 n_words.append(len(words)), n_removed.append(gone), kept.append(out.decode() if keep_text else hashlib.sha256(out).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *[batch.column(4 + i) for i in range(len(passed))]], names=["id", "n_words", "n_removed", name, *passed])
 
     name = "kept_text" if keep_text else "kept_sha256"
-    return joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, {name} string").withColumnRenamed("id", id_col)
+    more = "".join(f", {p} {df.schema[c].dataType.simpleString()}" for c, p in zip(carry, passed, strict=True))
+    out = joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, {name} string{more}")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", name, *[F.col(p).alias(c) for c, p in zip(carry, passed, strict=True)])
