@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _WINDOWS = """
 d AS (SELECT doc_id, {words} AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, len(w) - {n} + 1)) AS st FROM d WHERE len(w) >= {n}),
@@ -8,7 +8,7 @@ g AS (SELECT doc_id, st, array_to_string(w[st + 1:st + {n}], ' ') AS gram FROM s
 r AS (SELECT doc_id, st, row_number() OVER (PARTITION BY gram ORDER BY doc_id, st) AS k FROM g),
 c AS (SELECT DISTINCT doc_id, unnest(range(st, st + {n})) AS pos FROM r WHERE k > 1)"""
 
-_BENCH = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_BENCH = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 _TURN = "'<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)"
 _REST = "{x}[k + 1:len({x})]"
