@@ -36,6 +36,8 @@ MINIMISER = 5
 CHUNK = 8 << 20
 #: Bins for each shuffle partition.
 BINS = 8
+#: Compression level of rows in the shuffle.
+LEVEL = 6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -107,16 +109,19 @@ def super_kmers(ids: np.ndarray, words: Words, window: int, m: int):
 
 
 def _blob(parts) -> bytes:
+    """Super-k-mers as one compressed row; half a minimiser suffices to keep equal ones together."""
     mini, doc, start, packed = parts
-    head = np.array([len(mini)], np.int64).tobytes() + mini.astype(np.uint64).tobytes() + doc.astype(np.int64).tobytes() + start.astype(np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"\n".join(packed))
+    head = np.array([len(mini)], np.int64).tobytes() + np.diff(doc, prepend=0).astype(np.int64).tobytes() + start.astype(np.int32).tobytes() + (mini >> np.uint64(32)).astype(np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"\n".join(packed))
 
 
 def _unblob(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=0)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    cols = [np.frombuffer(raw, t, n, 8 + 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64))]
-    return (*cols, raw[8 + 24 * n :].split(b"\n") if n else [])
+    doc = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
+    start = np.frombuffer(raw, np.int32, n, 8 + 8 * n).astype(np.int64)
+    mini = np.frombuffer(raw, np.uint32, n, 8 + 12 * n)
+    return mini, doc, start, raw[8 + 16 * n :].split(b"\n") if n else []
 
 
 def _merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray):
