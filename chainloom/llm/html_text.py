@@ -132,10 +132,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def block_features(found: list[Block]) -> list[tuple[float, ...]]:
-    """For each block: article mark, other mark, words, link density, heading, and words and link density before and after."""
+    """For each block: place, words, link density, heading, and words and link density before and after.
+
+    The place is 2 inside a marked article, 0 outside it or inside another part, and 1 on a page without marks.
+    """
     around = [Block("", 0, 0.0, 0, 0, 0), *found, Block("", 0, 0.0, 0, 0, 0)]
-    marked = float(any(b.main for b in found))
-    return [(b.main, b.aside, b.words, b.links, b.heading, p.words, p.links, n.words, n.links, marked) for p, b, n in zip(around, found, around[2:], strict=False)]
+    free = 0 if any(b.main for b in found) else 1
+    return [(2 if b.main else 0 if b.aside else free, b.words, b.links, b.heading, p.words, p.links, n.words, n.links) for p, b, n in zip(around, found, around[2:], strict=False)]
 
 
 #: Labelled pages: each block is written as label, mark (m article, a other part, - none), words, percent of linked words
@@ -153,6 +156,24 @@ TRAINING = """
 0a5,0 0-3,0 1m5,0 1m200,0 0-4,0 0a3,100
 0a40,0 0-12,0 1m70,0 1m1,0 1m9,100 1m16,0 0-20,0 0a80,0
 0-3,100 0-4,0 0-2,100 1-6,0h 1-24,0 1-5,0 1-32,0 0-7,90 0-2,0
+0-2,100 0-3,100 1-5,0h 1-41,0 1-41,0 1-41,0 0-2,100
+0-2,100 1-5,0h 1-55,0 1-12,0 1-160,0 1-38,0 0-1,100 0-1,100
+0-6,80 1-9,0h 1-14,0 1-30,0 1-21,20 1-44,0 0-3,100 0-2,0
+0-1,100 0-2,0 1-80,0 1-11,0 1-95,0 1-61,0 0-10,70 0-5,0
+0-4,100 1-3,0h 1-19,0 1-27,0 1-8,0 1-130,4 0-6,100 0-9,0
+1-4,0h 1-48,0 1-52,0 1-47,0 1-13,0h 1-66,0 0-4,100
+0-2,100 1-33,0 1-36,0 1-210,0 1-24,0 0-12,100 0-3,0
+0-7,60 0-3,100 1-8,0h 1-17,0 1-15,0 1-40,0 0-2,100 0-8,0
+1m1,0
+1m3,100
+1m7,0h 1m2,0
+0a40,0 0a38,0 0-22,0 1m1,0 1m2,100 0a90,0 0-70,0
+0a15,0 1m3,0h 1m1,0 0a25,0 1m4,100 0a33,5 1m2,0 0-60,0 0a44,0
+0-80,0 0a20,0 0a21,0 1m2,0 1m1,50 1m150,0 0-31,0 0-52,0
+0a100,0 0a12,0h 0a55,0 1m20,100 1m6,100h 1m1,100 0a3,0h 0a61,0
+0-9,0h 0-45,0 1m5,0h 1m3,0 1m2,0 0-8,0h 0-120,0 0a200,0
+0a2,0 0a18,0 0a30,0 0a26,0 1m9,0 0a37,0 0a41,0 0a28,0
+0a11,0 1m2,30 0a50,0 1m1,0h 0a64,0 1m3,0 0a72,0 1m30,60
 """
 
 
@@ -169,7 +190,7 @@ def training_table() -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, float), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
     """A decision tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above)."""
     ones = int(y.sum())
     if depth == 0 or ones in (0, len(y)):
@@ -194,8 +215,10 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
 
 @lru_cache(maxsize=1)
 def tree():
-    """The tree fit on the labelled table."""
-    return grow(*training_table())
+    """The tree fit on the labelled table; its root splits three ways by place, which greedy splits may put off."""
+    x, y = training_table()
+    outside, free, inside = (grow(x[x[:, 0] == place], y[x[:, 0] == place]) for place in (0, 1, 2))
+    return (0, 0.5, outside, (0, 1.5, free, inside))
 
 
 def decide(node, row) -> int:

@@ -63,12 +63,19 @@ def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """``linked`` (id, size, crc, g1, g2, n, shard) after the rounds; no shard is over ``capacity``
     unless it was from the start."""
     for _ in range(ROUNDS):
-        tally = linked.groupBy("g1", "g2", "shard").agg(F.count(F.lit(1)).alias("c"))
-        best = tally.groupBy("g1", "g2").agg(F.max(F.struct("c", F.xxhash64("g1", "shard").alias("tie"), "shard")).alias("b"))
-        best = best.select("g1", "g2", F.col("b.shard").alias("want"))
+        sizes = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # ``shards`` rows
+        room = _choose([max(0, capacity - sizes.get(s, 0)) for s in range(shards)], F.col("shard"))
+        tally = linked.groupBy("g1", "g2", "n", "shard").agg(F.count(F.lit(1)).alias("c")).withColumn("room", room)
+        # of the shards with room, that which can gather most of the group
+        gather = F.least(F.col("n"), F.col("c") + F.col("room"))
+        fits = gather == F.col("n")
+        rank = F.struct(fits.alias("fits"), (F.col("room") > 0).alias("open"), gather.alias("gather"), "c", F.xxhash64("g1", "shard").alias("tie"), "shard")
+        best = tally.groupBy("g1", "g2").agg(F.max(rank).alias("b"), F.collect_list(F.struct("shard", "c")).alias("in"))  # ``shards`` items at most
+        here = F.element_at(F.filter("in", lambda x: x["shard"] == F.col("shard")), 1)["c"]
+        want = F.when(F.col("b.fits") | (F.col("b.gather") > here), F.col("b.shard")).otherwise(F.col("shard"))
         # members of a group move together, but a group too large for a shard moves document by document
         bucket = F.pmod(F.when(F.col("n") * 64 > capacity, F.xxhash64("id", "g2")).otherwise(F.xxhash64("g2", "g1")), F.lit(BUCKETS)).cast("int")
-        wish = cut(linked.join(best, ["g1", "g2"]).withColumn("bucket", bucket))
+        wish = cut(linked.join(best, ["g1", "g2"]).withColumn("want", want).withColumn("bucket", bucket).drop("b", "in"))
         counts = wish.groupBy("shard", "want", "bucket").count().collect()  # shards * shards * BUCKETS rows at most
         size = [0] * shards
         asked: dict[tuple[int, int], list[int]] = {}

@@ -286,11 +286,12 @@ def _receive(window: int):
     return run
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int | None = None) -> DataFrame:
     """Rows (id, start, stop): word spans covered by windows that start earlier elsewhere.
 
     ``id_col`` must hold integers. Spans of one document may overlap.
     """
+    minimiser = min(MINIMISER, window) if minimiser is None else minimiser
     if not 1 <= minimiser <= window:
         raise ValueError("a minimiser has from one word up to the window's")
     n = partitions(df.sparkSession)
