@@ -102,6 +102,10 @@ class Store:
         self.tables = DATASETS | self.tables
         self.files = Files(self.spark, self.root)
 
+    @property
+    def _pending(self) -> str:
+        return f"{self.root}/_pending.json"
+
     # Manifests
 
     def _manifest(self, table: str) -> dict[str, list[str]]:
@@ -241,6 +245,8 @@ class Store:
         others = [t for t in self.tables.values() if t.name not in ("accepted_blocks", "reorgs")]
         if reorgs is not None and (floor := reorgs.agg(F.min("height")).first()[0]) is not None:
             floor, orphans = int(floor), self._orphans(reorgs).persist()
+            # what a crash from here on leaves to do; an undo window of hashes at most
+            self.files.write(self._pending, json.dumps({"floor": floor, "hashes": sorted(r["hash"] for r in orphans.collect())}))
             self.append("reorgs", reorgs)
             if stop_after == "record":
                 return
@@ -249,6 +255,7 @@ class Store:
                 return
             self._each(others, lambda t: self.delete_blocks(t.name, orphans, floor))
             orphans.unpersist()
+            self.files.delete(self._pending)
             if stop_after == "delete":
                 return
         self._each([t for t in others if t.name in batch], lambda t: self.append(t.name, batch[t.name]))
@@ -266,13 +273,17 @@ class Store:
             list(pool.map(run, tables))
 
     def repair(self) -> None:
-        """Finishes retractions that were recorded but not done, and deletes rows of blocks that the ledger lacks."""
-        reorgs, ledger = self.read("reorgs"), self.read("accepted_blocks")
-        open_ = reorgs.withColumn("hash", F.explode(F.from_json("orphaned_hashes", "array<string>"))).join(ledger.select("hash", F.col("height").alias("held")), "hash")
-        floor = open_.agg(F.min("height")).first()[0]
-        if floor is not None:
-            self.delete_blocks("accepted_blocks", open_.select("hash"), int(floor))
-            ledger = self.read("accepted_blocks")
+        """Finishes a retraction that was begun, and deletes rows of blocks that the ledger lacks.
+
+        A reorg's orphans may be adopted again later, so the begun one is known by its own file and not by the ``reorgs`` rows.
+        """
+        if (text := self.files.read(self._pending)) is not None:
+            todo = json.loads(text)
+            if todo["hashes"]:
+                gone = self.spark.createDataFrame([(h,) for h in todo["hashes"]], "hash string")
+                self._each([t for t in self.tables.values() if t.name != "reorgs"], lambda t: self.delete_blocks(t.name, gone, todo["floor"]))
+            self.files.delete(self._pending)
+        ledger = self.read("accepted_blocks")
         low = ledger.agg(F.min("height")).first()[0]
         floor = 0 if low is None else int(low)
 

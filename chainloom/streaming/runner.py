@@ -64,21 +64,25 @@ class Ring:
 
 
 def plan_batch(ring: Ring, metas: list[tuple[int, str, str]]) -> tuple[list[tuple[int, str]], list[tuple[int, str, list[str]]]]:
-    """(accepted blocks, reorgs) of a batch of (height, hash, parent) in publish order.
+    """(accepted blocks, reorgs) of a batch of (height, hash, parent) in publish order, as its net effect.
 
-    A block that the batch itself orphans again is neither accepted nor named: only blocks from before it are retracted.
+    A block that the batch itself orphans is neither accepted nor named, and one that it orphans and accepts again stays
+    as it was; so a batch that comes again does nothing. There is one reorg at most.
     """
-    new: list[tuple[int, str]] = []
-    reorgs: list[tuple[int, str, list[str]]] = []
+    before = set(ring.blocks)
+    orphaned: set[tuple[int, str]] = set()
+    accepted: list[tuple[int, str]] = []
     for height, hash_, parent in metas:
         orphans = ring.accept(height, hash_, parent)
         if orphans is None:
             continue
-        gone = [h for h in orphans if h not in new]
-        new = [b for b in new if b not in orphans]
-        if gone:
-            reorgs.append((min(h for h, _ in gone), hash_, [h for _, h in gone]))
-        new.append((height, hash_))
+        orphaned.update(orphans)
+        orphaned.discard((height, hash_))
+        accepted = [b for b in accepted if b not in orphans]
+        accepted.append((height, hash_))
+    gone = sorted(orphaned & before, reverse=True)
+    new = [b for b in accepted if b not in before]
+    reorgs = [(gone[-1][0], accepted[-1][1], [h for _, h in gone])] if gone else []
     return new, reorgs
 
 

@@ -149,6 +149,17 @@ def test_blocks_that_a_batch_orphans_itself_are_not_named():
     assert (new, reorgs) == ([(2, "b2"), (3, "b3")], [])
 
 
+def test_orphans_that_are_adopted_again_stay(spark, tmp_path):
+    store = make(spark, tmp_path)
+    store.commit(batch(spark, FIRST))
+    store.commit(batch(spark, FORK, ORPHANED))
+    store.commit(batch(spark, FIRST[1:], (2, "a3", ["b2"])))
+    again = make(spark, tmp_path)
+    again.repair()
+    assert held(again, "accepted_blocks", "hash") == ["a1", "a2", "a3"]
+    assert len(held(again)) == 6
+
+
 def transform(blocks):
     rows = blocks.select(F.explode(F.from_json(F.get_json_object("json", "$.logs"), "array<string>")).alias("value"), F.col("height").alias("block_number"), F.col("hash").alias("block_hash"))
     return {"facts": rows.withColumn("chain", F.lit("c")).withColumn("dedupe_key", F.concat_ws(":", "block_hash", "value"))}
@@ -200,7 +211,8 @@ def test_a_store_follows_a_forking_chain(spark, tmp_path, seed):
             pipeline.apply(rows)
             pipeline = Pipeline(make(spark, tmp_path / "store"), "c", transform, window=8)
             known = {h for _, h in pipeline.ring.blocks}
-            todo = [b for b in canonical(tree, head) if b["hash"] not in known]
+            low = pipeline.ring.blocks[0][0] if pipeline.ring.history else 0
+            todo = [b for b in canonical(tree, head) if b["hash"] not in known and b["height"] > low]
             rows = arriving(spark, todo)
         pipeline.apply(rows)
         pipeline.apply(rows)  # a batch that comes again changes nothing
