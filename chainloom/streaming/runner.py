@@ -110,6 +110,8 @@ class Pipeline:
             spark = batch.sparkSession
             accepted = spark.createDataFrame(new, "height bigint, hash string")
             fresh = batch.join(F.broadcast(accepted), ["height", "hash"]).dropDuplicates(["hash"])  # one row for each block of a bounded batch
+            if hasattr(self.transform, "retract"):  # a transform with state forgets what the batch orphans
+                self.transform.retract([h for _, _, o in reorgs for h in o])
             out = self.transform(fresh)
             out["accepted_blocks"] = fresh.select(
                 "height", "hash", "parent_hash", F.timestamp_seconds("timestamp").alias("timestamp"), F.lit(self.chain).alias("chain"), F.concat("hash", F.lit(":accepted_block")).alias("dedupe_key")
