@@ -34,6 +34,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 
 #: Fixed values of the HTML standard: elements that stand inside a line, and those without content.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -47,6 +48,8 @@ ASIDE_NAMES = set(
     "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 
+ASIDE_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "related", "sidebar", "sponsor", "subscri")
+
 
 @dataclass(slots=True)
 class Block:
@@ -60,16 +63,18 @@ class Block:
 
 def _mark(tag: str, attrs: str, in_main: bool) -> int:
     """1 for an element that marks an article, -1 for another page part, 0 for neither."""
-    if tag in ("article", "main"):
-        return 1
-    if tag in ASIDE or tag == "header" and not in_main:
+    if tag in ASIDE or tag == "header" and not in_main or _HIDDEN.search(attrs):
         return -1
+    names: set[str] = set()
     if "=" in attrs:
         names = {p for m in _NAMES.finditer(attrs) for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-        if names & ASIDE_NAMES and not (in_main and tag == "header"):
+        aside = {n for n in names if n in ASIDE_NAMES or n.startswith(ASIDE_BEGINNINGS)}
+        if in_main or names & {"article", "entry", "post", "story"}:
+            aside.discard("header")  # an article's own headline
+        if aside:
             return -1
-        if names & MAIN_NAMES and tag not in ("body", "html"):
-            return 1
+    if tag in ("article", "main") or names & MAIN_NAMES and tag not in ("body", "html"):
+        return 1
     return 0
 
 

@@ -186,6 +186,8 @@ def test_a_page():
     [
         (None, ""), ("", ""), ("<nav><a>x</a></nav>", ""), ("<article><p>open", "open"), ("<article><p>a<script>never closed <p>b</article>", "a"),
         ("<article><p>a <!-- open <p>b</article>", "a"), ("<article><p>1 < 2 and <a href='>'>x</a></p></article>", "1 < 2 and x"), ("<article><p>&nbsp; </p></article>", ""),
+        ('<article><div class="article-header"><h1>t</h1></div><p>a</p></article><article class="comment"><p>c</p></article><ol class="commentlist"><li>d</ol>', "t a"),
+        ('<main><p>a</p><p hidden>b</p><div style="display: none">c</div><section class="related-links"><p>d</section></main>', "a"),
     ],
 )
 def test_odd_pages(page, text):
