@@ -65,7 +65,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _named(df, id_col, text_col)
     slim = cut(rows.select("id", fingerprint(F.col("text")).alias("fp")))
-    first = slim.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # stored, so that the join below deals out both sides itself and can split a bucket with very many ids
+    first = cut(slim.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(slim.join(first, "fp").select("id", "rep"))
     member = rows.join(members.distinct(), "id").select("id", "rep", canonical(F.col("text")).alias("mine"))
     heads = rows.join(members.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("head"), canonical(F.col("text")).alias("theirs"))
