@@ -87,8 +87,9 @@ def _carried(sums: Column, plus: Column | None = None) -> Column:
 
 
 def decimal_text(hexed: Column, bits: int = 256) -> Column:
-    """Unsigned hex of at most ``bits`` (a multiple of 32) as decimal text."""
-    return _carried(_sums(hexed, bits))
+    """Unsigned hex of at most ``bits`` (a multiple of 32) as decimal text; what fits 64 bits is read at once."""
+    rest = max(0, bits // 4 - 16)
+    return _bound(F.lpad(hexed, bits // 4, "0"), lambda h: F.when(F.substring(h, 1, rest) == "0" * rest, F.conv(F.substring(h, rest + 1, 16), 16, 10)).otherwise(_carried(_sums(h, bits))))
 
 
 def signed_text(hexed: Column, bits: int = 256) -> Column:
@@ -98,7 +99,9 @@ def signed_text(hexed: Column, bits: int = 256) -> Column:
         negative = F.substring(h, 1, 1) >= "8"
         magnitude = F.when(negative, F.translate(h, _HEX, _FLIPPED)).otherwise(h)
         text = _carried(_sums(magnitude, bits), F.when(negative, 1).otherwise(0))
-        return F.concat(F.when(negative, "-").otherwise(""), text)
+        rest = max(0, bits // 4 - 16)
+        fits = F.substring(h, 1, rest) == F.when(F.substring(h, rest + 1, 1) >= "8", "f" * rest).otherwise("0" * rest)
+        return F.when(fits, F.conv(F.substring(h, rest + 1, 16), 16, -10)).otherwise(F.concat(F.when(negative, "-").otherwise(""), text))
 
     return _bound(hexed, read)
 
