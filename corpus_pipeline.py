@@ -11,14 +11,15 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm import bpe, decontaminate, simhash, substring_dedup, toxicity
+from chainloom.llm import bpe, decontaminate, near_copies, substring_dedup, toxicity
 from chainloom.llm.common import shared_dir, table
 from chainloom.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near copies: 5-word shingles, similarity 0.8. A 512-bit SimHash then differs in 78 bits on average
-#: (the angle between the shingle vectors over pi); one standard deviation of 8 bits is allowed for.
-SHINGLE, BLOCKS, TOTAL = 5, 16, 86
+#: Near copies: sets of 5-word shingles that share 0.8 of their union or more.
+SHINGLE, LIKENESS = 5, 0.8
+#: Bits of a 512-bit SimHash in which near copies mostly differ at most; only the plain version in the tests reads it.
+TOTAL = 86
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of repeated rows with one id one stays; rows without an id stay, since no id can name them.
     """
-    group = simhash.simhash_components(docs, shingle=SHINGLE, budget=2, blocks=BLOCKS, total=TOTAL)
+    group = near_copies.near_copies(docs, shingle=SHINGLE, likeness=LIKENESS)
     copies = group.where("component <> doc_id").select("doc_id").distinct()
     left = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "n_chars")
