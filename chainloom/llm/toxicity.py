@@ -42,6 +42,8 @@ FEATURES = 30_000
 THRESHOLD = 0.7
 #: Words that a worker remembers at most.
 CACHE = 300_000
+#: Characters beyond which a token's words count as written, too.
+LONG = 60
 
 #: Letters of the character model: lower-case Latin-1; anything else ends a word (0).
 LETTERS = [c for c in map(chr, range(256)) if unicodedata.category(c) == "Ll" and c.lower() == c and c not in "µªº"]
@@ -128,10 +130,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(token: str, model: CharModel) -> str:
     """The most likely letters of ``token``; words are separated by spaces."""
     log = model.log
-    best = {(0, 0): (0.0, "")}
+    best = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []  # by step: where a state came from
     for options in lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), cost in best.items():
             for put, extra in options:
                 p, q, total = a, b, cost + extra
                 for c in put:
@@ -140,18 +144,24 @@ def viterbi(token: str, model: CharModel) -> str:
                         total -= float(log[p, q, k])
                     p, q = (q, k) if k else (0, 0)
                 old = new.get((p, q))
-                if old is None or total < old[0]:
-                    new[p, q] = (total, text + put)
+                if old is None or total < old:
+                    new[p, q] = total
+                    came[p, q] = (a, b), put
         best = new
+        back.append(came)
         if len(best) > 64:
-            best = dict(sorted(best.items(), key=lambda x: x[1][0])[:64])
-    end = [(cost - (float(log[a, b, 0]) if b else 0.0), text) for (a, b), (cost, text) in best.items()]
-    return min(end)[1] if end else ""
+            best = dict(sorted(best.items(), key=lambda x: x[1])[:64])
+    state = min((cost - (float(log[a, b, 0]) if b else 0.0), (a, b)) for (a, b), cost in best.items())[1]
+    puts = []
+    for came in reversed(back):
+        state, put = came[state]
+        puts.append(put)
+    return "".join(reversed(puts))
 
 
 def disguised(token: str) -> bool:
     """Whether a lower-case token looks like a word in disguise."""
-    if len(token) < 3 or len(token) > 60 or not any(c in INDEX for c in token):
+    if len(token) < 3 or not any(c in INDEX for c in token):
         return False
     return bool(_SIGN.search(token) or _RUN.search(token) or _SEPARATED.fullmatch(token))
 
@@ -164,7 +174,8 @@ def restored(token: str, model: CharModel) -> list[str]:
     if core != token and len(token) - len(core) <= 2 and (token[-1:] in "$@!" or token[:1] in "$@!"):
         forms.append(token)
     forms.append(core)
-    out = list(words) if not disguised(core) else []
+    # a long token may hold plain words beside disguised ones
+    out = list(words) if len(core) > LONG or not disguised(core) else []
     for form in forms:
         if disguised(form):
             out += viterbi(form, model).split()
@@ -188,7 +199,7 @@ def doc_words(text: str, model: CharModel, memo: dict[str, list[str]]) -> set[st
             words = memo[token] = [w for w in restored(token, model) if len(w) > 2]
         out.update(words)
     for m in _SPACED.finditer(low):
-        out.update(w for w in viterbi(m[0][:400], model).split() if len(w) > 2)
+        out.update(w for w in viterbi(m[0], model).split() if len(w) > 2)
     return out
 
 
