@@ -1,10 +1,11 @@
 """Sharding by balanced label propagation; DataFrame functions only.
 
 Documents with equal texts are linked (all members of a group to each other, held as a group and
-not as pairs). From a hashed start, each round moves linked documents to the shard that most of their
-group is in, as far as capacity quotas allow: the quota of a shard is its room plus what leaves it
+not as pairs). At the start groups lie end to end, in hashed order, and are cut into equal shares, so
+at most one group at each cut is split. Each round then moves linked documents to the shard with room that can gather most of
+their group, as far as capacity quotas allow: the quota of a shard is its room plus what leaves it
 in the same round. Quotas are met in hash buckets of (from, to), so a round needs no global order.
-Rounds end when none moves. Documents without links fill the shards up, which cuts no edge.
+Rounds end when none moves or a round lessens no split. Documents without links fill the shards up, which cuts no edge.
 
 The law is ``rows``: the shards' counts differ by one at most. Sizes, counts of groups and buckets travel; texts do not leave
 the scan. The driver sees only tables of shards by buckets, whose sizes are parameters.
@@ -23,8 +24,6 @@ from chainloom.llm.common import cut
 
 #: Hash buckets in which quotas are met.
 BUCKETS = 512
-#: Rounds at most; each but the last moves documents.
-ROUNDS = 8
 #: Rows that a bucket of the final numbering has on average.
 NUMBERED = 100_000
 
@@ -62,7 +61,12 @@ def _choose(values: list, index):
 def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """``linked`` (id, size, crc, g1, g2, n, shard) after the rounds; no shard is over ``capacity``
     unless it was from the start."""
-    for _ in range(ROUNDS):
+    before, parts = None, None
+    while True:
+        last, parts = parts, linked.select("g1", "g2", "shard").distinct().count()
+        if last is not None and parts >= last:
+            return before
+        before = linked
         sizes = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # ``shards`` rows
         room = _choose([max(0, capacity - sizes.get(s, 0)) for s in range(shards)], F.col("shard"))
         tally = linked.groupBy("g1", "g2", "n", "shard").agg(F.count(F.lit(1)).alias("c")).withColumn("room", room)
@@ -88,8 +92,35 @@ def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
         if not moved:
             return wish.drop("want", "bucket")
         quota = _choose([upto.get((a, b), 0) for a in range(shards) for b in range(shards)], F.col("shard") * shards + F.col("want"))
-        linked = wish.withColumn("shard", F.when(F.col("bucket") < quota, F.col("want")).otherwise(F.col("shard"))).drop("want", "bucket")
-    return cut(linked)
+        linked = cut(wish.withColumn("shard", F.when(F.col("bucket") < quota, F.col("want")).otherwise(F.col("shard"))).drop("want", "bucket"))
+
+
+def _upto(sizes: list[int], position):
+    """The shard of a position from 0, where shards of ``sizes`` rows lie end to end."""
+    shard = F.lit(len(sizes) - 1)
+    for s in reversed(range(len(sizes) - 1)):
+        shard = F.when(position < sum(sizes[: s + 1]), F.lit(s)).otherwise(shard)
+    return shard
+
+
+def end_to_end(linked: DataFrame, groups: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """``linked`` (with g1, g2, n) and ``shard``: its groups (g1, g2, n) one after another, cut into equal shares.
+
+    Positions are worked out by group; only rows of groups that lie across a cut are numbered.
+    """
+    part = groups.withColumn("part", F.pmod(F.xxhash64("g2", "g1"), F.lit(buckets)).cast("int"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("g1", "g2").rowsBetween(Window.unboundedPreceding, -1))
+    sums = part.groupBy("part").agg(F.sum("n").alias("rows"))
+    ahead = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # ``buckets`` rows
+    ahead = sums.select(F.col("part").alias("of_part"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    total = sums.agg(F.sum("rows")).first()[0] or 0
+    share = [total // shards + (s < total % shards) for s in range(shards)]
+    placed = part.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(ahead), F.col("part") == F.col("of_part"))
+    placed = placed.withColumn("start", F.col("ahead") + F.col("inside")).select("g1", "g2", "start", _upto(share, F.col("start")).alias("shard"), _upto(share, F.col("start") + F.col("n") - 1).alias("end"))
+    rows = cut(linked.join(placed, ["g1", "g2"]))
+    across = _numbered(rows.where("shard <> end"), buckets, ["g1", "g2"], "rank")
+    across = across.withColumn("shard", _upto(share, F.col("start") + F.col("rank"))).drop("rank")
+    return cut(rows.where("shard = end").unionByName(across).drop("start", "end"))
 
 
 def _numbered(df: DataFrame, buckets: int, by: list[str], name: str) -> DataFrame:
@@ -116,28 +147,16 @@ def balanced_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = cut(base)
     total = base.count()
     groups = base.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = cut(base.join(groups, ["g1", "g2"], "left").withColumn("shard", F.pmod(F.xxhash64("id", "g1"), F.lit(shards)).cast("int")))
+    groups = cut(groups)
+    marked = cut(base.join(groups, ["g1", "g2"], "left"))
     target = [total // shards + (s < total % shards) for s in range(shards)]
-    linked = propagate(marked.where("n is not null"), shards, total // shards)
-    single = marked.where("n is null")
     buckets = max(16, total // NUMBERED)
+    linked = propagate(end_to_end(marked.where("n is not null"), groups, shards, buckets), shards, total // shards)
+    single = marked.where("n is null")
     size = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # ``shards`` rows
-    over = [s for s in range(shards) if size.get(s, 0) > target[s]]
-    if over:  # hashing alone may put too many linked documents into a shard
-        ranked = _numbered(linked.where(F.col("shard").isin(over)), buckets, ["shard"], "rank")
-        stays = F.col("rank") < _choose(target, F.col("shard"))
-        ranked = cut(ranked)
-        single = single.unionByName(ranked.where(~stays).drop("rank"))
-        linked = linked.where(~F.col("shard").isin(over)).unionByName(ranked.where(stays).drop("rank"))
-    room, upto = [], 0
-    for s in range(shards):
-        upto += max(0, target[s] - size.get(s, 0))
-        room.append(upto)
+    room = [target[s] - size.get(s, 0) for s in range(shards)]
     # documents without links, in the order of their numbers, fill what room the shards have
-    fill = _numbered(single.drop("shard").withColumn("all", F.lit(0)), buckets, ["all"], "number").drop("all")
-    place = F.lit(shards - 1)
-    for s in reversed(range(shards - 1)):
-        place = F.when(F.col("number") < room[s], F.lit(s)).otherwise(place)
-    dealt = cut(linked.unionByName(fill.withColumn("shard", place).drop("number")))
+    fill = _numbered(single.withColumn("all", F.lit(0)), buckets, ["all"], "number").drop("all")
+    dealt = cut(linked.unionByName(fill.withColumn("shard", _upto(room, F.col("number"))).drop("number")))
     rows = _numbered(dealt, buckets, ["shard"], "slot")
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
