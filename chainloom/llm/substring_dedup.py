@@ -205,7 +205,7 @@ def repeats_in_bin(blobs: list[bytes], window: int):
         hi = max(hi, lo + 1)
         hi = int(np.searchsorted(key, key[hi - 1], side="right"))
         part = order[lo:hi]
-        if hi - lo > 1 or length[lo] >= 4 * window:
+        if hi - lo > 1 or packed[order[lo]].count(b" ") >= window:  # a lone window cannot repeat itself
             found.append(_sorted_windows(doc[part], start[part], [packed[i] for i in part.tolist()], window))
         lo = hi
     found = [f for f in found if f is not None]
