@@ -35,13 +35,28 @@ def test_decontamination_by_brute_force(make, spark, odd):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t in rows if not plain.hits(t, ITEMS)[1])
 
 
-def test_a_large_benchmark_is_joined_by_shuffle(make, spark, odd, monkeypatch):
+def test_a_large_benchmark_is_joined_by_shuffle(make, spark, odd):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    want = sorted(map(str, decontaminate.decontaminate(make(odd), items).collect()))
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    joined = decontaminate.decontaminate(make(odd), items)
-    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(str, joined.collect())) == want
+    rows = [*odd, (950, "alpha " * 20_000 + ITEMS[0][1] + " beta" * 9), (None, ITEMS[0][1]), (951, ITEMS[0][1]), (951, ITEMS[0][1] + " x")]
+    want = Counter(map(str, decontaminate.benchmark_hits(make(rows), items).distinct().collect()))
+    hits = decontaminate.benchmark_hits(make(rows), items, most=0)
+    plan = hits._jdf.queryExecution().optimizedPlan()
+    assert "broadcast" not in plan.toString().lower()
+    assert Counter(map(str, hits.distinct().collect())) == want and any("950" in w for w in want)
+
+
+def test_words_do_not_travel_to_a_large_benchmark(make, spark, odd):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    hits = decontaminate.benchmark_hits(make(odd), items, most=0)
+    hits.collect()
+    stack, sent = [hits._jdf.queryExecution().optimizedPlan()], []
+    while stack:  # what the joins by hash get from the documents
+        node = stack.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        stack += kids
+        if node.nodeName() == "Join" and "gram_hash" in node.condition().get().toString():
+            sent += [x.split("#")[0] for x in kids[0].output().mkString(",").split(",")]
+    assert sent and not {"w", "gram", "text"} & set(sent)
 
 
 def test_empty_benchmarks_and_tables(make, spark, odd):
@@ -165,6 +180,13 @@ def test_preferences(spark):
     assert chat.preference_format(c.where("id < 0"), c.where("id < 0")).count() == 0
 
 
+def test_pairs_of_large_ids(spark, tmp_path):
+    ids = [2**53 + 2, 2**53 + 3, -2, -1, 2**62, 2**62 + 1]
+    spark.createDataFrame([(i, 0, "user", "hi") for i in ids], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {r.pair_id: (r.chosen_id, r.rejected_id) for r in queries.op4_preference(spark, str(tmp_path)).collect()}
+    assert out == {i // 2: (i, i + 1) for i in ids[::2]}
+
+
 # Pages
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{color:red}</style><script>if (a<b) document.write("<p>no</p>")</script></head><body class="post">
@@ -218,6 +240,33 @@ def test_page_rows(spark):
 # Toxicity
 
 
+def paths(token, model):
+    """Every reading of a token with its cost."""
+    ways = [((0, 0), 0.0, "")]
+    for options in toxicity.lattice(token):
+        new = []
+        for (p, q), cost, text in ways:
+            for put, extra in options:
+                a, b, total = p, q, cost + extra
+                for c in put:
+                    k = toxicity.INDEX.get(c, 0)
+                    if k or b:
+                        total -= float(model.log[a, b, k])
+                    a, b = (b, k) if k else (0, 0)
+                new.append(((a, b), total, text + put))
+        ways = new
+    return {text: cost - (float(model.log[a, b, 0]) if b else 0.0) for (a, b), cost, text in ways}
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths(scored):
+    model = scored[0].chars
+    rng = random.Random(2)
+    tokens = ["1d10t", "i.d.i.o.t", "w0rthle$$", "m00r0n1c", "ko!!", "a-1-b", "5cumb4g"] + ["".join(rng.choice("verantilokosa0145!$..- ") for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+    for token in tokens:
+        cost = paths(token, model)
+        assert cost[toxicity.viterbi(token, model)] <= min(cost.values()) + 1e-4, token
+
+
 def corpus():
     rng = random.Random(9)
     parts = ["lo", "re", "mi", "sa", "tu", "ver", "an", "ti", "ko", "el"]
