@@ -3,17 +3,17 @@
 Of every ``length`` consecutive words the position with the smallest word k-gram hash is selected
 (leftmost of equal ones), so equal passages select equal positions. Only suffixes at selected
 positions are kept: each travels, with the words before it that windows selecting it can reach, to
-the bin of its k-gram. There the suffixes of one k-gram are sorted and neighbours compared; where
-neighbours agree for long enough, matches are extended left, and a word is repeated if a match
+the bin of its k-gram. There the suffixes of one k-gram are sorted and neighbours compared; runs of
+neighbours that agree are extended left, and a word is repeated if a match
 of ``length`` words or more that covers it starts earlier elsewhere (in a smaller document, or
-earlier in the same one).
+earlier in the same one). Runs are worked on as a whole, so pairs of records are never listed.
 
 Scale: as for super-k-mers, a task sends only the first of equal records in a chunk, bins are many
 more than partitions and worked on one at a time, and rows are compressed.
 
 Defined results: null text has no words; documents of fewer words than ``length`` repeat nothing;
-rows with a null id take no part; repeated rows with one id are one place. Columns other than id
-and text are not read.
+rows with a null id take no part; repeated rows with one id are one place; long texts are read whole; an empty table gives
+an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -123,44 +123,49 @@ def common(a: list[bytes], b: list[bytes]) -> int:
     return sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(a, b, strict=False)))
 
 
+def nearest_earlier(places: list, near: list[int]) -> list[int]:
+    """For each of several sorted strings how much it shares, at most, with one of an earlier place; -1 if none is earlier.
+
+    ``near`` holds what neighbours share. Of all strings on one side that are earlier, the nearest shares most.
+    """
+    n = len(places)
+    best = [-1] * n
+    for side in (range(n), range(n - 1, -1, -1)):
+        back = -1 if side.step > 0 else 0
+        stack: list[tuple[int, int]] = []  # earlier ones, each with what it shares with the one below it
+        for i in side:
+            share = near[i + back] if stack else 0
+            while stack and places[stack[-1][0]] >= places[i]:
+                share = min(share, stack.pop()[1])
+            if stack:
+                best[i] = max(best[i], share)
+            stack.append((i, share))
+    return best
+
+
 def matches(records: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """Repeated spans (document, first word, end) among records of one k-gram.
 
-    A record is (document, first word, words before the selected one, its words).
+    A record is (document, first word, words before the selected one, its words). The suffixes are sorted and neighbours
+    compared; a run of suffixes shares, to the right, the least that neighbours in it share. In each run the words
+    before are sorted and compared likewise, which extends the matches to the left, and runs are split where they share least.
     """
     items = []
     for doc, start, left, text in records:
         words = text.split(b" ")
-        items.append((words[left:], words[:left], (doc, start)))
+        items.append((words[left:], words[:left][::-1], (doc, start + left)))
     items.sort(key=lambda x: x[0])  # the suffixes
     near = [common(a[0], b[0]) for a, b in zip(items, items[1:], strict=False)]
     out = []
-    if len(items) == 2:
-        a, b = items
-        back = common(a[1][::-1], b[1][::-1])
-        if back + near[0] >= length and a[2] != b[2]:
-            # places of the selected word; the later one repeats the earlier
-            spots = sorted((x[2][0], x[2][1] + len(x[1])) for x in (a, b))
-            doc, at = spots[1]
-            if spots[0] != spots[1]:
-                out.append((doc, at - back, at + near[0]))
-        return out
-    # longest agreement with any other suffix is that with a neighbour
-    reach = [max(near[i - 1] if i else 0, near[i] if i < len(near) else 0) for i in range(len(items))]
-    first: dict[tuple[int, bytes], tuple[int, int]] = {}
-    held = []
-    for (right, left, (doc, start)), r in zip(items, reach, strict=True):
-        words, spot = left + right, len(left)
-        for back in range(max(0, length - min(r, len(right))), min(spot, length) + 1):
-            s = spot - back
-            if s + length > len(words):
-                continue
-            key = (back, b" ".join(words[s : s + length]))
-            place = (doc, start + s)
-            if key not in first or place < first[key]:
-                first[key] = place
-            held.append((key, place))
-    out += [(doc, s, s + length) for key, (doc, s) in held if first[key] != (doc, s)]
+    runs = [(0, len(items))]
+    while runs:
+        lo, hi = runs.pop()
+        right = min(near[lo : hi - 1])
+        run = sorted(items[lo:hi], key=lambda x: x[1])
+        lefts = nearest_earlier([x[2] for x in run], [common(a[1], b[1]) for a, b in zip(run, run[1:], strict=False)])
+        out += [(x[2][0], x[2][1] - left, x[2][1] + right) for x, left in zip(run, lefts, strict=True) if left >= 0 and left + right >= length]
+        cuts = [lo, *(i + 1 for i in range(lo, hi - 1) if near[i] == right), hi]
+        runs += [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b - a > 1]
     return out
 
 
