@@ -12,12 +12,14 @@ training document's own counts are left out.
 
 Scale: trigram counts and scoring cover all rows in single scans with map-side sums (the trigram
 table has a fixed size). The classifier is fit on at most ``TOXIC_ROWS`` + ``CLEAN_ROWS`` labelled
-rows, those of smallest id hash; they and the model are all that reaches the driver.
+rows, those of smallest id hash; trigram counts, two numbers for each of these rows and the words that speak for toxicity among
+them are all that reaches the driver.
 
 Defined results: null text is the empty text and has the score of no evidence; without toxic or
 without clean training rows every score is 0; labels that are null or whose id is null are not
-used; an id with several labels counts as toxic if one of them says so. Columns of ``docs`` other
-than id and text pass untouched.
+used; an id with several labels counts as toxic if one of them says so; texts and tokens are read whole, however long; repeated
+rows have the same score; an empty table gives an empty result. Columns of ``docs`` pass untouched, but for one that has the score's name, which the
+score replaces.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ from chainloom.llm.common import cut
 
 #: Parameters: labelled rows that the classifier is fit on, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
-#: Parameter: features that the model keeps, at most.
-FEATURES = 30_000
 THRESHOLD = 0.7
 #: Words that a worker remembers at most.
 CACHE = 300_000
@@ -147,10 +147,8 @@ def viterbi(token: str, model: CharModel) -> str:
                 if old is None or total < old:
                     new[p, q] = total
                     came[p, q] = (a, b), put
-        best = new
+        best = new  # the last two letters, so few states whatever the length
         back.append(came)
-        if len(best) > 64:
-            best = dict(sorted(best.items(), key=lambda x: x[1])[:64])
     state = min((cost - (float(log[a, b, 0]) if b else 0.0), (a, b)) for (a, b), cost in best.items())[1]
     puts = []
     for came in reversed(back):
@@ -290,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2)
     counts = spread.mapInPandas(count, "f string, pos bigint, neg bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1)) - 1.5 / F.sqrt("pos")
-    top = counts.where("pos > 1").withColumn("r", ratio).where("r > 0").orderBy(F.desc("r"), "f").limit(FEATURES)
-    counted = {r["f"]: (r["pos"], r["neg"]) for r in top.collect()}  # at most FEATURES rows
+    top = counts.where("pos > 1").where(ratio > 0)
+    counted = {r["f"]: (r["pos"], r["neg"]) for r in top.collect()}  # words of the bounded sample that two toxic rows hold
     weights = {f: _weight(p, n, n_pos, n_neg) for f, (p, n) in counted.items()}
 
     def evidence(batches):
