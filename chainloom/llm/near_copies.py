@@ -1,25 +1,35 @@
-"""Near copies: documents whose sets of word shingles are alike, decided by the sets themselves.
+"""Near copies by SimHash: the trie join finds candidates, their sets of word shingles decide.
 
-Two documents link when their sets of shingles share ``likeness`` of their union or more; a group is what
-links reach. Sets that are equal are held as one. Candidates come from MinHash: ``BANDS`` keys of
-``ROWS`` smallest hashes each, and two sets meet if one key is equal. At a likeness of 0.8 all keys
-differ in 3 of a million pairs; that is the only loss, and no pair links without its sets being compared.
+A document's fingerprint is the 512-bit SimHash of its set of word shingles. Two documents link when
+their sets share ``likeness`` of their union or more; a group is what links reach. Documents with equal
+sets are held as one.
 
-Inside a key, all are first compared with the smallest, which settles groups of copies without all
-pairs. Where a key still holds several groups, all pairs across them are compared, so what the
-first round leaves open is never dropped.
+Candidates: two sets at that likeness differ in some 15 of 100 bits. Each fingerprint is sent under
+``keys`` keys of ``width`` of its bits, so many that all keys miss such a pair in 5 of 1,000 cases. Under one key
+a binary trie over bits that are in no key is joined with itself, and node pairs are pruned beyond
+the error budget, which lies 4 standard deviations above what such a pair differs in.
+No pair links without its sets being compared.
 
-Scale: keys travel as 64-bit hashes, texts only for candidates, once for each first text that they are
-compared with. The candidates are broadcast to the scan of the texts below ``BROADCAST_ROWS``; beyond, the same join shuffles.
-A task compares rows as they come, holding one set. A first text with many candidates is sent to ``SALTS`` tasks.
+Pairs are not listed inside groups of copies. First all rows of a cluster are compared with the one
+in its middle. Where a cluster still holds several groups, each row is compared with the nearest
+of another group, and what is then still apart with all candidates of other groups; the trie join prunes
+node pairs that lie in one group.
+
+Scale: keys travel with 128 bits of the fingerprint. The width grows with the logarithm of the number of sets, so a key has
+some 256 sets by chance, and the number of keys follows from the width. Texts travel for candidates only.
+The candidates' ids are broadcast to the scan below ``BROADCAST_ROWS`` rows of four numbers; beyond, the same join shuffles.
+A middle with many candidates is sent to as many tasks as ``SHARE`` of them each need. All rows of one key are held by one task.
 
 Defined results: null text is the empty text; texts without words are equal; a text of fewer words
-than a shingle is one shingle; a null id takes the group of its set (null if no row there has an
-id); repeated rows each return. Columns other than id and text are not read.
+than a shingle is one shingle; long texts are read whole; an id names one document, so texts that share an id share its
+group; a null id takes the group of its set (null if no row there has an id); repeated rows each return; an
+empty table gives an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,35 +37,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import cut, partitions
-from chainloom.llm.simhash import components, shingle_hashes, spread
+from chainloom.llm.simhash import PIECE, components, of_hashes, popcount, shingle_hashes, trie_pairs, trie_self_join
 
-#: Keys of a set, and the smallest hashes that make a key.
-BANDS, ROWS = 24, 4
-#: Rows of candidates that may be broadcast: at some 100 bytes each, 20 MB at most.
+#: 64-bit words of a fingerprint; the first ``HEAD`` are in no key and travel with each.
+WORDS, HEAD = 8, 2
+#: Share of pairs just at the likeness that no key may bring together.
+LOST = 0.005
+#: Sets that meet under one key by chance, about; and the least bits of a key.
+MEET, LEAST_WIDTH = 256, 16
+#: Rows of one key beyond which what is near to the middle is taken out before the trie is built.
+HOT = 4_096
+#: Rows of candidates that may be broadcast: four numbers each, 20 MB at most.
 BROADCAST_ROWS = 200_000
-#: Tasks that may share the candidates of one first text.
-SALTS = 16
-#: Shingles whose hashes are spread at once.
-_PIECE = 4096
+#: Candidates of one middle that a task compares, about.
+SHARE = 256
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """The distinct hashes of the word shingles of ``text``, in order."""
-    return np.unique(shingle_hashes(text, size))
+def differing(likeness: float) -> float:
+    """The chance that a bit differs between two sets of equal size at ``likeness``."""
+    return math.acos(min(1.0, 2 * likeness / (1 + likeness))) / math.pi
+
 
+def budget(bits: int, likeness: float) -> int:
+    """Bits in which two such sets differ at most, but for a few of 100,000 pairs."""
+    p = differing(likeness)
+    return math.ceil(p * bits + 4.2 * math.sqrt(p * (1 - p) * bits))
 
-def digest(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a set of shingles."""
-    return xxhash.xxh3_128_digest(shingles.tobytes())
 
+def layout(sets: int, likeness: float) -> tuple[int, int]:
+    """(width, keys) for a number of sets."""
+    width = max(LEAST_WIDTH, math.ceil(math.log2(max(1, sets / MEET))))
+    agree = (1 - differing(likeness)) ** width
+    return width, max(1, math.ceil(math.log(LOST) / math.log1p(-agree))) if agree < 1 else 1
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """``BANDS`` keys of a set; those of different bands differ."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), _PIECE):
-        low = np.minimum(low, spread(shingles[i : i + _PIECE], BANDS * ROWS).min(axis=0))
-    raw = low.tobytes()
-    return [xxhash.xxh3_64_intdigest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b) - (1 << 63) for b in range(BANDS)]
+
+def key_bits(width: int, keys: int) -> np.ndarray:
+    """The positions of each key's bits; keys from one shuffle of the positions share none."""
+    held = np.arange(64 * HEAD, 64 * WORDS)
+    each = len(held) // width
+    rows = [np.random.default_rng(k).permutation(held)[: each * width].reshape(each, width) for k in range(-(-keys // each))]
+    return np.concatenate(rows)[:keys]
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct hashes of the word shingles of ``text``, in order."""
+    return np.unique(shingle_hashes(text, size))
 
 
 def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
@@ -70,75 +96,221 @@ def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
 def _signatures(size: int):
     def run(batches):
         for batch in batches:
-            prints, counts, keys = [], [], []
+            prints, counts, fps = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py() or b"", size)
-                prints.append(digest(s)), counts.append(len(s)), keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "n", "keys"])
+                prints.append(xxhash.xxh3_128_digest(s.tobytes())), counts.append(len(s)), fps.append(of_hashes(s, WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(fps, pa.binary())], names=["id", "print", "n", "fp"])
+
+    return run
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _keys(width: int, keys: int):
+    """Rows (key, a, b, n, id): ``keys`` for each set, with the head of its fingerprint."""
+
+    def run(batches):
+        places = key_bits(width, keys)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = _words(batch.column(1))
+            bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+            a, b = (pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(HEAD))
+            for k, at in enumerate(places):
+                raw = np.zeros((len(bits), 64), np.uint8)
+                raw[:, :width] = bits[:, at]
+                key = np.packbits(raw, axis=1, bitorder="little").view(np.int64)[:, 0] | (k << width)
+                yield pa.RecordBatch.from_arrays([pa.array(key), a, b, batch.column(2), batch.column(0)], names=["key", "a", "b", "n", "id"])
+
+    return run
+
+
+def pieces(batches, most: int = PIECE):
+    """Lists of arrays, one for each column: about ``most`` rows that do not split a value of the first column."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [_words(c) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+        if n >= most and (new := np.flatnonzero(cols[0] != held[-1][0][-1])).size:
+            at = int(new[0])
+            held.append([c[:at] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n, cols = [], 0, [c[at:] for c in cols]
+        held.append(cols)
+        n += len(cols[0])
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _trie_bits(group: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, int]:
+    """As many leading bits of ``word`` as fit beside the group's number, and how many."""
+    width = 64 - max(1, int(group[-1]).bit_length())
+    return word >> np.uint64(64 - width), width
+
+
+def _middles(head: np.ndarray, ids: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+    """For each row the row nearest to the bitwise majority of its cluster (numbers in order, without gaps)."""
+    start = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+    size = np.diff(np.concatenate([start, [len(cluster)]]))
+    ones = np.add.reduceat(np.unpackbits(head.view(np.uint8), axis=1), start, axis=0, dtype=np.int64)
+    major = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64)
+    far = popcount(head ^ major[cluster]).sum(axis=1)
+    return np.lexsort((ids, far, cluster))[start][cluster]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) ^ (x.astype(np.uint64) >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _clusters(likeness: float):
+    """Rows (cluster, hub, id, near): each row of a cluster with the middle; ``near`` if it is a candidate of it."""
+    most = budget(64 * HEAD, likeness)
+
+    def piece(key, a, b, n, ids):
+        head = np.ascontiguousarray(np.stack([a, b], axis=1)).view(np.uint64)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
+        hub = np.full(len(key), -1)
+        cluster = np.zeros(len(key), np.uint64)
+        left = np.ones(len(key), bool)
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if hi - lo <= HOT:
+                continue
+            rows = np.arange(lo, hi)
+            while len(rows) > HOT:
+                mid = int(_middles(head[rows], ids[rows], np.zeros(len(rows), np.int64))[0])
+                near = popcount(head[rows] ^ head[rows[mid]]).sum(axis=1) <= most
+                if near.sum() < len(rows) // 16:
+                    break
+                hub[rows[near]] = rows[mid]
+                left[rows[near]] = False
+                rows = rows[~near]
+        rows = np.flatnonzero(left)
+        if len(rows):
+            h, g = head[rows], group[rows]
+            rest, width = _trie_bits(g, h[:, 0])
+            label = trie_self_join(g, rest, width, min(most, budget(width, likeness)), lambda u, v: popcount(h[u] ^ h[v]).sum(axis=1) <= most)
+            many = np.flatnonzero(np.bincount(label, minlength=len(rows))[label] > 1)
+            if len(many):
+                order = many[np.argsort(label[many], kind="stable")]
+                at, lab = rows[order], label[order]
+                number = np.cumsum(np.concatenate([[0], (lab[1:] != lab[:-1]).astype(np.int64)]))
+                hub[at] = at[_middles(head[at], ids[at], number)]
+        hot = (np.diff(edge) > HOT)[group]
+        out = np.flatnonzero((hub >= 0) | hot)
+        mine = hub[out]
+        alone = mine < 0
+        mine[alone] = out[alone]
+        cluster = _mixed(key[out]) ^ np.where(hot[out], np.uint64(0), _mixed(ids[mine] + 1))
+        near = (mine != out) & (popcount(head[out] ^ head[mine]).sum(axis=1) <= most) & (np.minimum(n[out], n[mine]) >= likeness * np.maximum(n[out], n[mine]) - 1e-6)
+        return pa.RecordBatch.from_arrays([pa.array(cluster.view(np.int64)), pa.array(ids[mine]), pa.array(ids[out]), pa.array(near)], names=["cluster", "hub", "id", "near"])
+
+    def run(batches):
+        for cols in pieces(batches):
+            yield piece(*cols)
+
+    return run
+
+
+def _across(likeness: float, nearest: bool):
+    """Rows (hub, id) of candidates in one cluster but in different groups: for each row the nearest, or all."""
+    most = budget(64 * WORDS, likeness)
+
+    def rows_of(hub, ids):
+        return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(ids)], names=["hub", "id"])
+
+    def run(batches):
+        for cluster, ids, comp, n, fp in pieces(batches):
+            fp = np.ascontiguousarray(fp)
+            group = np.cumsum(np.concatenate([[0], (cluster[1:] != cluster[:-1]).astype(np.int64)]))
+            rest, width = _trie_bits(group, fp[:, 0])
+            best = np.full(len(ids), np.iinfo(np.int64).max)
+            for u, v in trie_pairs(group, rest, width, budget(width, likeness), comp):
+                far = popcount(fp[u] ^ fp[v]).sum(axis=1)
+                ok = (comp[u] != comp[v]) & (far <= most) & (np.minimum(n[u], n[v]) >= likeness * np.maximum(n[u], n[v]) - 1e-6)
+                u, v, far = u[ok], v[ok], far[ok]
+                if not nearest:
+                    yield rows_of(ids[u], ids[v])
+                    continue
+                np.minimum.at(best, u, (far << 40) | v)
+                np.minimum.at(best, v, (far << 40) | u)
+            found = np.flatnonzero(best < np.iinfo(np.int64).max)
+            if len(found):
+                yield rows_of(ids[best[found] & ((1 << 40) - 1)], ids[found])
 
     return run
 
 
 def _compare(size: int, likeness: float):
-    """Links of rows (hub, salt, first, print, id, text), sorted so that each hub's own text comes first."""
+    """Links of rows (hub, salt, first, id, text), sorted so that each hub's own text comes first."""
 
     def run(batches):
-        now, held, held_id = None, None, None
+        now, held = None, []
         for batch in batches:
             u, v = [], []
-            for hub, salt, first, print_, i, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                s = shingle_set(text or b"", size)
-                if digest(s) != print_:  # another text of the same id
-                    continue
-                if first == 0:
-                    now, held, held_id = (hub, salt), s, i
-                elif now == (hub, salt) and held_id != i and alike(held, s, likeness):
-                    u.append(held_id), v.append(i)
+            for hub, salt, first, i, text in zip(*(batch.column(k) for k in range(5)), strict=True):
+                hub, salt, i = hub.as_py(), salt.as_py(), i.as_py()
+                s = shingle_set(text.as_py() or b"", size)
+                if now != (hub, salt):
+                    now, held = (hub, salt), []
+                if first.as_py() == 0:
+                    if not any(np.array_equal(s, h) for h in held):  # texts that share the hub's id
+                        held.append(s)
+                elif any(alike(h, s, likeness) for h in held):
+                    u.append(hub), v.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, likeness: float) -> DataFrame:
-    """Links (u, v) of ids, of the pairs (hub, hub_id, print, id) whose sets are alike.
-
-    ``docs`` has id and text (as bytes).
-    """
-    spark = docs.sparkSession
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int"))
-    hubs = pairs.select("hub", "salt", F.lit(0).alias("first"), F.col("hub").alias("print"), F.col("hub_id").alias("at")).distinct()
-    need = cut(hubs.unionByName(pairs.select("hub", "salt", F.lit(1).alias("first"), "print", F.col("id").alias("at"))))
-    rows = need.count()
-    few = F.broadcast(need) if rows <= BROADCAST_ROWS else need
-    sent = docs.join(few, docs["id"] == few["at"]).select("hub", "salt", "first", "print", docs["id"], "text")
-    sent = sent.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "first")
+    """Links (u, v) of the pairs (hub, id) whose sets are alike. ``docs`` has id and text (as bytes)."""
+    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("salts"))
+    salted = pairs.join(many, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    hubs = salted.select("hub", "salt", F.lit(0).alias("first"), F.col("hub").alias("at")).distinct()
+    need = cut(hubs.unionByName(salted.select("hub", "salt", F.lit(1).alias("first"), F.col("id").alias("at"))))
+    few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    sent = docs.join(few, docs["id"] == few["at"]).select("hub", "salt", "first", docs["id"], "text")
+    sent = sent.repartition(partitions(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "first")
     return cut(sent.mapInArrow(_compare(size, likeness), "u bigint, v bigint"))
 
 
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("hub", "id").alias("low"), F.greatest("hub", "id").alias("high")).distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """Rows (id, component): the smallest id that links reach, itself included."""
+    n = partitions(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = cut(docs.mapInArrow(_signatures(shingle), "id bigint, print binary, n bigint, keys array<bigint>"))
-    sets = signed.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    named = sets.where("id is not null").select("print", "id", "n", F.explode("keys").alias("key"))
-    # of each key the smallest set, if the key holds several
-    least = F.min(F.struct("id", "print", "n"))
-    tops = named.groupBy("key").agg(least.alias("top"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "top")
-    members = cut(named.join(tops, "key").select("key", "print", "id", "n", F.col("top.print").alias("hub"), F.col("top.id").alias("hub_id"), F.col("top.n").alias("hub_n")))
-    # sets whose sizes differ too much cannot be alike
-    fits = F.least("n", "hub_n") / F.greatest("n", "hub_n") >= likeness
-    star = members.where("print <> hub").where(fits).select("hub", "hub_id", "print", "id").distinct()
-    links = verified(docs, star, shingle, likeness)
+    signed = cut(docs.mapInArrow(_signatures(shingle), "id bigint, print binary, n bigint, fp binary"))
+    sets = cut(signed.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    named = sets.where("id is not null").select("id", "fp", "n")
+    width, keys = layout(sets.count(), likeness)
+    sent = named.mapInArrow(_keys(width, keys), "key bigint, a bigint, b bigint, n bigint, id bigint").repartition(n, "key").sortWithinPartitions("key")
+    members = cut(sent.mapInArrow(_clusters(likeness), "cluster bigint, hub bigint, id bigint, near boolean"))
+    pairs = members.where("near and hub <> id").select("hub", "id").distinct()
+    tested = cut(_unordered(pairs))
+    links = verified(docs, pairs, shingle, likeness)
+    for nearest in (True, False):
+        label = components(links)
+        comp = members.select("cluster", "id").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"))
+        apart = comp.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster")
+        rows = cut(comp.join(apart, "cluster"))
+        if not rows.limit(1).count():
+            break
+        rows = rows.join(named, "id").select("cluster", "id", "comp", "n", "fp").repartition(n, "cluster").sortWithinPartitions("cluster")
+        more = _unordered(rows.mapInArrow(_across(likeness, nearest), "hub bigint, id bigint")).join(tested, ["low", "high"], "left_anti")
+        more = cut(more)
+        tested = tested.unionByName(more)
+        found = verified(docs, more.select(F.col("low").alias("hub"), F.col("high").alias("id")), shingle, likeness)
+        links = links.unionByName(found)
     label = components(links)
-    grouped = members.join(label, F.col("id") == F.col("v"), "left").select("key", "print", "id", "n", "hub", F.coalesce("label", "id").alias("group"))
-    apart = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    open_ = cut(grouped.join(apart, "key"))
-    a, b = open_.alias("a"), open_.alias("b")
-    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.print") < F.col("b.print")) & (F.col("a.group") != F.col("b.group")))
-    cross = cross.where((F.col("a.print") != F.col("a.hub")) & (F.col("b.print") != F.col("b.hub")))  # compared already
-    cross = cross.where(F.least("a.n", "b.n") / F.greatest("a.n", "b.n") >= likeness)
-    cross = cross.select(F.col("a.print").alias("hub"), F.col("a.id").alias("hub_id"), F.col("b.print").alias("print"), F.col("b.id").alias("id")).distinct()
-    more = verified(docs, cross, shingle, likeness)
-    label = components(links.unionByName(more))
     of_set = sets.select(F.col("print").alias("p"), F.col("id").alias("rep")).join(label, F.col("rep") == F.col("v"), "left").select("p", F.coalesce("label", "rep").alias("component"))
     return signed.join(of_set, F.col("print") == F.col("p"), "left").select(F.col("id").alias(id_col), "component")

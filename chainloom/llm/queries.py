@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,8 @@ from chainloom.llm import bpe, chat, decontaminate, exact_digest, html_text, sha
 from chainloom.llm.sql import SQL  # noqa: F401
 from chainloom.llm.common import table
 
-#: Parameter: the folder of vocabulary files, which must be readable on every executor.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Parameter: the vocabulary file, which must be readable on every executor; a folder of such files may be named instead.
+VOCABULARY = f"{os.environ['TOKENIZER_DIR']}/byte_bpe_50k.json" if "TOKENIZER_DIR" in os.environ else str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) as prompt and masked completions."""
-    rows = chat.conversations(table(spark, sf_dir, "conversations")).withColumn("pair_id", F.floor(F.col("id") / 2))
+    rows = chat.conversations(table(spark, sf_dir, "conversations")).withColumn("pair_id", F.shiftright(F.col("id").cast("long"), 1))
     even = F.pmod("id", F.lit(2)) == 0
     both = chat.preference_format(rows.where(even), rows.where(~even))
     spans = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")).alias(c)
@@ -62,7 +62,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that start earlier elsewhere go."""
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20, keep_text=False)
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=20, keep="digest")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

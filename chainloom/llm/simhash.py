@@ -64,7 +64,11 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int, words: int = 1) -> bytes:
     """The fingerprint of ``text``: ``words`` little-endian 64-bit words."""
-    h = shingle_hashes(text, size)
+    return of_hashes(shingle_hashes(text, size), words)
+
+
+def of_hashes(h: np.ndarray, words: int = 1) -> bytes:
+    """The fingerprint of shingle hashes."""
     n = len(h)
     if not n:
         return bytes(8 * words)
@@ -144,19 +148,36 @@ def trie_self_join(group: np.ndarray, rest: np.ndarray, width: int, budget: int,
     ``group`` holds ascending integers; rows of different groups never link. ``linked(i, j)`` says
     which of the pairs found are links.
     """
-    n = len(group)
+    label = np.arange(len(group))
+    for u, v in trie_pairs(group, rest, width, budget):
+        good = linked(u, v)
+        label = settle(label, u[good], v[good])
+    return label
+
+
+def trie_pairs(group: np.ndarray, rest: np.ndarray, width: int, budget: int, settled: np.ndarray | None = None):
+    """Arrays (u, v) of the pairs of rows whose ``rest`` differ in at most ``budget`` bits.
+
+    With ``settled``, pairs of nodes whose rows all have one and the same value there are pruned as
+    well; single pairs with equal values may still be among the result.
+    """
     value = (group.astype(np.uint64) << np.uint64(width)) | rest
     order = np.argsort(value, kind="stable")
     value = value[order]
-    label = np.arange(n)
     owner = value >> np.uint64(width)
     edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
     lo, hi = edge[:-1], edge[1:]
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
+    if settled is not None:
+        known = settled[order]
+        turns = np.cumsum(np.concatenate([[0], (known[1:] != known[:-1]).astype(np.int64)]))
     stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int64), width - 1)]
     while stack:
         al, ah, bl, bh, diff, bit = stack.pop()
+        if settled is not None and len(al):
+            open_ = (known[al] != known[bl]) | (turns[al] != turns[ah - 1]) | (turns[bl] != turns[bh - 1])
+            al, ah, bl, bh, diff = (x[open_] for x in (al, ah, bl, bh, diff))
         if not len(al):
             continue
         if len(al) > FRONTIER:
@@ -168,16 +189,7 @@ def trie_self_join(group: np.ndarray, rest: np.ndarray, width: int, budget: int,
         if small.any():
             for k in _slices(area[small]):
                 a0, a1, b0, b1 = (x[small][k] for x in (al, ah, bl, bh))
-                size = (a1 - a0) * (b1 - b0)
-                of = np.repeat(np.arange(len(size)), size)
-                at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                u, v = a0[of] + at // (b1 - b0)[of], b0[of] + at % (b1 - b0)[of]
-                keep = u < v
-                u, v = u[keep], v[keep]
-                near = popcount(value[u] ^ value[v]) <= budget
-                u, v = order[u[near]], order[v[near]]
-                good = linked(u, v)
-                label = settle(label, u[good], v[good])
+                yield from _near(value, order, budget, a0, a1, b0, b1)
         if small.all():
             continue
         al, ah, bl, bh, diff = (x[~small] for x in (al, ah, bl, bh, diff))
@@ -190,7 +202,22 @@ def trie_self_join(group: np.ndarray, rest: np.ndarray, width: int, budget: int,
         al, ah, bl, bh, diff = (np.concatenate([p[i] for p in parts]) for i in range(5))
         keep = (diff <= budget) & (ah > al) & (bh > bl) & ((al != bl) | (ah - al > 1))
         stack.append((al[keep], ah[keep], bl[keep], bh[keep], diff[keep], bit - 1))
-    return label
+
+
+def _near(value, order, budget: int, a0, a1, b0, b1, most: int = 1 << 21):
+    """The pairs within budget between rows a0 to a1 and b0 to b1 of each two nodes, ``most`` at once."""
+    for x in range(0, int((a1 - a0).max()), max(1, most // int((b1 - b0).sum()))):
+        step = max(1, most // int((b1 - b0).sum()))
+        c0, c1 = np.minimum(a0 + x, a1), np.minimum(a0 + x + step, a1)
+        size = (c1 - c0) * (b1 - b0)
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        u, v = c0[of] + at // (b1 - b0)[of], b0[of] + at % (b1 - b0)[of]
+        keep = u < v
+        u, v = u[keep], v[keep]
+        near = popcount(value[u] ^ value[v]) <= budget
+        if near.any():
+            yield order[u[near]], order[v[near]]
 
 
 def _slices(sizes: np.ndarray, most: int = 1 << 21):

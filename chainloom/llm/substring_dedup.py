@@ -13,7 +13,8 @@ compressed. Nothing is collected.
 
 Defined results: null text has no words; a document of fewer words than ``window`` has no window
 and keeps all; rows with a null id take no part and keep all; repeated rows with one id are one
-occurrence each of the same place, so none of them repeats the other. Columns other than id and text are not read.
+occurrence each of the same place, so none of them repeats the other; a text is cut whole, however long, and lies in
+one task's memory; an empty table gives an empty result. Columns other than id, text and those to carry are not read.
 """
 
 from __future__ import annotations
@@ -311,12 +312,18 @@ def kept_words(words: list[bytes], spans: list) -> tuple[list[bytes], int]:
     return out, len(words) - len(out)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: str = "words", carry: list[str] | None = None) -> DataFrame:
     """One row for each row of ``df``: (id, n_words, n_removed, kept_text or kept_sha256, then ``carry``).
 
-    The columns named in ``carry`` pass through; their names must differ from the others.
+    ``keep`` tells what is kept: "words" joined by blanks, their "digest", or the "whole" text as it was where nothing
+    was removed and else the words. The columns named in ``carry`` pass through; of a name that the result has already, its
+    own column is returned.
     """
+    if keep not in ("words", "digest", "whole"):
+        raise ValueError(f"unknown kind of result: {keep}")
     carry = list(carry or [])
+    name = "kept_sha256" if keep == "digest" else "kept_text"
+    carry = [c for c in carry if c not in (id_col, "n_words", "n_removed", name)]
     spans = repeated_spans(df, id_col, text_col, window).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = df.schema[id_col].dataType.simpleString()
     passed = [f"pass_{i}" for i in range(len(carry))]
@@ -327,13 +334,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             n_words, n_removed, kept = [], [], []
             for text, starts, stops in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                words = (text.as_py() or b"").split()
+                whole = text.as_py()
+                words = (whole or b"").split()
                 left, gone = kept_words(words, list(zip(starts.as_py(), stops.as_py(), strict=True)) if starts.is_valid else [])
-                out = b" ".join(left)
-                n_words.append(len(words)), n_removed.append(gone), kept.append(out.decode() if keep_text else hashlib.sha256(out).hexdigest())
+                out = whole if keep == "whole" and not gone else b" ".join(left)
+                n_words.append(len(words)), n_removed.append(gone), kept.append(hashlib.sha256(out).hexdigest() if keep == "digest" else out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *[batch.column(4 + i) for i in range(len(passed))]], names=["id", "n_words", "n_removed", name, *passed])
 
-    name = "kept_text" if keep_text else "kept_sha256"
     more = "".join(f", {p} {df.schema[c].dataType.simpleString()}" for c, p in zip(carry, passed, strict=True))
     out = joined.mapInArrow(run, f"id {kind}, n_words bigint, n_removed bigint, {name} string{more}")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", name, *[F.col(p).alias(c) for c, p in zip(carry, passed, strict=True)])

@@ -71,7 +71,7 @@ def test_substring_dedup_by_brute_force(make, odd, window):
 def test_repeated_texts_in_many_tasks(make):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(i, text if i % 3 else f"{text} tail{i}") for i in range(100)]
-    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(make(rows).repartition(7), keep_text=False).collect()}
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(make(rows).repartition(7), keep="digest").collect()}
     assert got == {i: 0 if i == 0 else 50 for i in range(100)}
 
 
@@ -85,6 +85,32 @@ def test_suffix_dedup_by_brute_force(make, odd, length, k):
         assert gone.get(i, set()) == want
 
 
+def test_groups_of_equal_grams_are_extended(make):
+    rng = random.Random(6)
+    say = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    mid, rows = say(10), []
+    for i in range(60):  # many surroundings of one passage, alike to the left or to the right for some words
+        left, right = (mid_side[:k] + say(14 - k) for mid_side, k in ((say(14) if i % 3 else ["l"] * 14, i % 14), (["r"] * 14, i % 12)))
+        rows.append((i // 2, " ".join(left[::-1] + mid + right)))
+    rows = [(i, " ".join(t for j, t in rows if j == i)) for i in range(30)]
+    for length, k in ((12, 4), (16, 3), (10, 1)):
+        gone = {}
+        for r in suffix_dedup.repeated_passages(make(rows), length=length, k=k).collect():
+            gone.setdefault(r.id, set()).update(range(r.start, r.stop))
+        want = plain.repeated(rows, length)
+        assert [gone.get(i, set()) for i, _ in rows] == want and any(want)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_nearest_earlier_string_shares_most(seed):
+    rng = random.Random(seed)
+    words = sorted("".join(rng.choice("ab") for _ in range(6)) for _ in range(25))
+    places = [rng.randrange(12) for _ in words]
+    near = [suffix_dedup.common(list(a), list(b)) for a, b in zip(words, words[1:], strict=False)]
+    want = [max([suffix_dedup.common(list(words[i]), list(words[j])) for j in range(25) if places[j] < places[i]], default=-1) for i in range(25)]
+    assert suffix_dedup.nearest_earlier(places, near) == want
+
+
 def test_suffix_rows(make, odd):
     out = suffix_dedup.suffix_dedup(make(odd)).collect()
     gone = plain.repeated(odd, 50)
@@ -130,3 +156,15 @@ def test_quotas_never_overflow():
 @pytest.mark.parametrize("run", [simhash.simhash_components, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, sharding.balanced_shards])
 def test_empty_tables(make, spark, run):
     assert run(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_carried_columns_whose_names_clash(make):
+    out = substring_dedup.substring_dedup(make([(1, "a b")]).withColumnRenamed("v", "n_words"), carry=["n_words", "key"])
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept_text", "key"]
+    assert out.first().n_words == 2
+
+
+def test_whole_texts_stay_as_they_are(make):
+    rows = [(1, " a  b\t"), (2, None), (3, "x " * 60)]
+    out = {r.doc_id: r.kept_text for r in substring_dedup.substring_dedup(make(rows), keep="whole").collect()}
+    assert out == {1: " a  b\t", 2: None, 3: " ".join(["x"] * 1)}
