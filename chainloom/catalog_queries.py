@@ -462,12 +462,13 @@ def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.log_counts(logs(spark, sf_dir))
 
 
-_BUCKET = "CASE " + " ".join(f"WHEN s <= {b} THEN {i}" for i, b in enumerate(measure.COMMIT_BUCKETS)) + f" ELSE {len(measure.COMMIT_BUCKETS)} END"
+_BUCKET = """CASE WHEN s <= 0.005 THEN 0 WHEN s <= 0.01 THEN 1 WHEN s <= 0.025 THEN 2 WHEN s <= 0.05 THEN 3 WHEN s <= 0.1 THEN 4 WHEN s <= 0.25 THEN 5
+WHEN s <= 0.5 THEN 6 WHEN s <= 1 THEN 7 WHEN s <= 2.5 THEN 8 WHEN s <= 5 THEN 9 WHEN s <= 15 THEN 10 WHEN s <= 60 THEN 11 ELSE 12 END"""
 
 
-@registered(f"WITH c AS (SELECT event_type AS store, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT event_type, (event_id % 1500) / 100.0 AS s FROM events) GROUP BY 1, 2) SELECT store, bucket, n, (sum(n) OVER (PARTITION BY store ORDER BY bucket))::BIGINT AS upto FROM c")
+@registered(f"WITH c AS (SELECT event_type AS store, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT event_type, (event_id % 9000) / 100.0 AS s FROM events) GROUP BY 1, 2) SELECT store, bucket, n, (sum(n) OVER (PARTITION BY store ORDER BY bucket))::BIGINT AS upto FROM c")
 def commit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = read(spark, sf_dir, "events").select(F.col("event_type").alias("store"), (F.col("event_id") % 1500 / 100).alias("seconds"))
+    commits = read(spark, sf_dir, "events").select(F.col("event_type").alias("store"), (F.col("event_id") % 9000 / 100).alias("seconds"))
     return measure.commit_histogram(commits)
 
 
@@ -499,15 +500,15 @@ def link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.link_check(b.withColumn("parent_hash", F.when(F.col("height") % 6 == 0, F.lit("0xbad")).otherwise(F.col("parent_hash")))).select("height", "hash")
 
 
-_SUFFIX = f"""WITH l AS (SELECT * FROM {BLOCK} ORDER BY height DESC LIMIT 300),
+_SUFFIX = f"""WITH l AS (SELECT * FROM {BLOCK} ORDER BY height DESC LIMIT 4096),
 b AS (SELECT *, coalesce(CASE WHEN height % 64 = 0 OR lag(height) OVER (ORDER BY height) + 1 <> height THEN 1 ELSE 0 END, 0) AS broken FROM l),
 s AS (SELECT *, coalesce(sum(broken) OVER (ORDER BY height DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM b)"""
 
 
 @registered(f"{_SUFFIX} SELECT height, hash FROM s WHERE above = 0")
 def linked_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest blocks of a ledger of 300 that link without a break."""
-    ledger = chain.newest(blocks(spark, sf_dir), 300)
+    """The newest blocks of a ledger that link without a break."""
+    ledger = chain.newest(blocks(spark, sf_dir))
     broken = ledger.withColumn("parent_hash", F.when(F.col("height") % 64 == 0, F.lit("0xbad")).otherwise(F.col("parent_hash")))
     return chain.linked_suffix(broken).select("height", "hash")
 
@@ -546,10 +547,10 @@ def reorg_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"SELECT min(height) AS height, '0x' || sha256('fork' || max(height)) AS new_head_hash, CAST(to_json(list(hash ORDER BY height DESC)) AS VARCHAR) AS orphaned_hashes FROM {BLOCK} WHERE height >= (SELECT max(height) - 5 FROM {BLOCK})")
 def plan_reorg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = chain.newest(blocks(spark, sf_dir).select("height", "hash"), 64)
+    b = chain.newest(blocks(spark, sf_dir).select("height", "hash"))
     tip = b.agg(F.max("height").alias("tip"))
     branch = b.join(F.broadcast(tip)).select("height", F.when(F.col("height") >= F.col("tip") - 5, hashed("height", "fork")).otherwise(F.col("hash")).alias("hash"))
-    return chain.plan_reorg(b, branch)
+    return chain.plan_reorg(b, branch, floor=0)
 
 
 @registered(f"SELECT l_orderkey, log_index FROM {LOG} WHERE NOT (block_number >= 10000 AND block_number % 2 = 0)")
@@ -804,5 +805,5 @@ def ext_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded swaps by pool, exact sums of their amounts included."""
-    swaps = decode_swaps(spark, sf_dir).where(~F.col("amount0").startswith("-"))
+    swaps = decode_swaps(spark, sf_dir)
     return swaps.groupBy("address").agg(F.count(F.lit(1)).alias("swaps"), W.exact_sum(F.col("amount0")).alias("amount0"))

@@ -78,8 +78,8 @@ def _carried(sums: Column, plus: Column | None = None) -> Column:
 
     def step(acc: Column, s: Column) -> Column:
         now = (s + acc["carry"]).cast("decimal(38,0)")
-        digits = F.lpad((now % base).cast("decimal(20,0)").cast("string"), 19, "0")
-        return F.struct(F.call_function("div", now, base).cast("decimal(38,0)").alias("carry"), F.concat(digits, acc["text"]).alias("text"))
+        low = F.pmod(now, base).cast("decimal(20,0)")
+        return F.struct(F.call_function("div", (now - low).cast("decimal(38,0)"), base).cast("decimal(38,0)").alias("carry"), F.concat(F.lpad(low.cast("string"), 19, "0"), acc["text"]).alias("text"))
 
     start = F.struct(first.alias("carry"), F.lit("").alias("text"))
     text = F.aggregate(sums, start, step, lambda acc: F.concat(acc["carry"].cast("string"), acc["text"]))
@@ -107,10 +107,16 @@ def signed_text(hexed: Column, bits: int = 256) -> Column:
 
 
 def exact_sum(text: Column) -> Column:
-    """Sum over a group of non-negative decimal texts of at most 78 digits, as decimal text."""
-    padded = F.lpad(text, 95, "0")
-    parts = [F.sum(F.substring(padded, 95 - 19 * (j + 1) + 1, 19).cast("decimal(19,0)")).cast("decimal(38,0)") for j in range(5)]
-    return _carried(F.array(*parts))
+    """Sum over a group of decimal texts of at most 78 digits, negative ones included, as decimal text."""
+    negative = text.startswith("-")
+    padded = F.lpad(F.when(negative, F.substring(text, 2, 78)).otherwise(text), 95, "0")
+    signed = [F.substring(padded, 95 - 19 * (j + 1) + 1, 19).cast("decimal(19,0)") for j in range(5)]
+    parts = F.array(*[F.sum(F.when(negative, -s).otherwise(s)).cast("decimal(38,0)") for s in signed])
+    # parts of a negative total borrow from the next, and the last borrow is what stays negative
+    base = F.lit(str(_BASE)).cast("decimal(20,0)")
+    top = lambda s: F.aggregate(s, F.lit(0).cast("decimal(38,0)"), lambda c, x: F.call_function("div", (x + c - F.pmod(x + c, base)).cast("decimal(38,0)"), base).cast("decimal(38,0)"))
+    turned = lambda s: F.transform(s, lambda x: (-x).cast("decimal(38,0)"))
+    return _bound(parts, lambda s: F.when(top(s) < 0, F.concat(F.lit("-"), _carried(turned(s)))).otherwise(_carried(s)))
 
 
 def quantity(text: Column) -> Column:
@@ -142,10 +148,23 @@ def pseudo_float(hexed: Column) -> Column:
     return F.call_function("shiftleft", packed.bitwiseAND(F.lit((1 << 27) - 1).cast("long")), shift)
 
 
+#: The codebook of spreads in millionths. It has 256 entries, so it is stated by its rule: first value, step and
+#: number of entries of each stretch, in order of index.
+SPREADS = (
+    (0, 1, 10),
+    (12, 2, 54),
+    (123, 5, 64),
+    (448, 10, 64),
+    (1228, 150, 59),
+    (10_000, 0, 5),
+)
+
+
 def codebook() -> list[int]:
-    """Spreads in millionths by their index: steps of 1, 2, 5, 10 and 150, then the largest."""
-    return [*range(10), *range(12, 119, 2), *range(123, 439, 5), *range(448, 1079, 10), *range(1228, 9929, 150), *[10_000] * 5]
+    """Spreads in millionths by their index."""
+    return [first + step * k for first, step, entries in SPREADS for k in range(entries)]
 
 
-def spread(index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in codebook()]), (index + 1).cast("int"))
+def spread(index: Column, book: list[int] | None = None) -> Column:
+    """The spread of an index, by the codebook or by another one."""
+    return F.element_at(F.array(*[F.lit(v) for v in book or codebook()]), (index + 1).cast("int"))

@@ -51,19 +51,23 @@ def pruned(ledger: DataFrame, keep: int, height: str = "height") -> DataFrame:
     return ledger.join(F.broadcast(tip)).where(F.col(height) > F.col("tip") - keep).drop("tip")
 
 
-def plan_reorg(ledger: DataFrame, branch: DataFrame, floor: int | None = None) -> DataFrame:
+def plan_reorg(ledger: DataFrame, branch: DataFrame, floor: int, whole_history: bool = False) -> DataFrame:
     """The reorg row for a branch that ends in a new head: height, new_head_hash, orphans newest first.
 
-    ``branch`` has height, hash of the new blocks down to the ancestor or further. With ``floor`` (the lowest
-    height that may be retracted), an ancestor below it is refused.
+    ``branch`` has height, hash of the new blocks down to the ancestor or further. ``floor`` is the lowest height that may be
+    retracted. A branch without a block of the ledger is refused, unless the ledger holds the whole history and the
+    branch replaces its first block.
     """
     common = branch.join(ledger, ["height", "hash"]).agg(F.max("height").alias("ancestor"))
+    lowest = branch.agg(F.min("height").alias("lowest")).join(F.broadcast(ledger.agg(F.min("height").alias("first"))))
+    whole = F.lit(whole_history) & (F.col("lowest") <= F.col("first"))
+    refused = F.raise_error(F.lit("the branch has no block in common with the ledger")).cast("bigint")
+    common = common.join(F.broadcast(lowest)).select(F.when(F.col("ancestor").isNotNull() | F.col("first").isNull(), F.col("ancestor")).when(whole, F.col("lowest") - 1).otherwise(refused).alias("ancestor"))
     head = branch.agg(F.max_by("hash", "height").alias("new_head_hash"))
-    orphans = ledger.join(F.broadcast(common)).where(F.col("height") > F.coalesce("ancestor", F.lit(-1)))
+    orphans = ledger.join(F.broadcast(common)).where(F.col("height") > F.col("ancestor"))
     named = orphans.agg(F.sort_array(F.collect_list(F.struct("height", "hash")), asc=False).alias("o"), F.min("height").alias("height"))  # a window of blocks at most
     out = named.join(head).select("height", "new_head_hash", F.to_json(F.transform("o", lambda x: x["hash"])).alias("orphaned_hashes"))
-    if floor is not None:
-        out = out.withColumn("height", F.when(F.col("height") < floor, F.raise_error(F.lit("the fork is below the undo window"))).otherwise(F.col("height")))
+    out = out.withColumn("height", F.when(F.col("height") < floor, F.raise_error(F.lit("the fork is below the undo window"))).otherwise(F.col("height")))
     return out.where("height is not null")
 
 

@@ -11,8 +11,6 @@ from chainloom.operators.relate import temporal_contracts
 from chainloom.schema import decoded_key, log_key
 from chainloom.sources.manifest import ZERO, Catalog
 
-#: Creations may nest (a factory that makes factories); a catalog is finite, so its rules end.
-ROUNDS = 16
 _TOPICS = ("topic0", "topic1", "topic2", "topic3")
 _PLACE = ("transaction_hash", "transaction_index", "log_index", "block_number", "block_hash", "block_timestamp")
 
@@ -95,30 +93,36 @@ def first_claims(found: DataFrame) -> DataFrame:
 def discover(logs: DataFrame, catalog: Catalog, cut=lambda df: df) -> DataFrame:
     """The contract set to a fixpoint: seeds, and what they and their children create.
 
-    Rounds are bounded by the depth of the catalog's rules. ``cut`` stores a round (for
-    example as a checkpoint), so lineage does not grow.
+    There are as many rounds as the catalog's rules are deep; where rules form a cycle, rounds go on until one finds
+    no contract. ``cut`` stores a round (for example as a checkpoint), so lineage does not grow.
     """
     seeds = catalog.seeds(logs.sparkSession)
     columns = ["address", "entry", "seed", "block_number", "log_index"]
     known, depth = seeds, _depth(catalog)
-    found = None
-    for _ in range(depth):
+    found, held, rounds = None, -1, 0
+    while depth is None or rounds < depth:
+        rounds += 1
         new = created(logs, catalog, known)
         found = cut(first_claims(new.join(seeds.select("address"), "address", "left_anti")))
         known = seeds.select(*columns).unionByName(found.withColumn("seed", F.lit(False)).select(*columns))
+        if depth is None:
+            before, held = held, found.count()
+            if held == before:
+                break
     return known if found is None else known.select(*columns)
 
 
-def _depth(catalog: Catalog) -> int:
-    """Length of the longest chain of creation rules; rules in a cycle count ``ROUNDS``."""
+def _depth(catalog: Catalog) -> int | None:
+    """Length of the longest chain of creation rules; None if there is a cycle."""
     rules = {c.entry: {r.contract for r in c.created_by} for c in catalog.contracts}
 
-    def depth(entry: str, seen: tuple[str, ...]) -> int:
+    def depth(entry: str, seen: tuple[str, ...]) -> float:
         if entry in seen:
-            return ROUNDS
+            return float("inf")
         return max((1 + depth(p, (*seen, entry)) for p in rules.get(entry, ())), default=0)
 
-    return min(ROUNDS, max((depth(e, ()) for e in rules), default=0))
+    longest = max((depth(e, ()) for e in rules), default=0)
+    return None if longest == float("inf") else int(longest)
 
 
 def contract_rows(found: DataFrame) -> DataFrame:

@@ -186,8 +186,9 @@ class Store:
 
     def fill(self, table: str, rows: DataFrame, before_lake: bool = False) -> None:
         """Appends the rows whose key the table lacks; doing it twice is the same as once."""
-        low = None
-        held = self.read(table, low)
+        placed = self._placed(self.tables[table], rows)
+        touched = [str(r["block_range"]) for r in placed.select("block_range").distinct().collect()]  # partitions of a batch
+        held = self._part(table, touched)
         new = rows.dropDuplicates(["chain", "dedupe_key"]).join(held.select("chain", "dedupe_key"), ["chain", "dedupe_key"], "left_anti")
         self.append(table, new, before_lake)
 

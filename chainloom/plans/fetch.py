@@ -17,14 +17,20 @@ RECEIPTS = 10
 
 @dataclass
 class Span:
-    """Heights to ask for at once: halved on failure, doubled after 20 successes in a row."""
+    """Heights to ask for at once: half of a range that failed, doubled after 20 successes in a row."""
 
     now: int = 100
-    most: int = 10_000
+    most: int = 100
     good: int = 0
 
-    def failed(self) -> None:
-        self.now, self.good = max(1, self.now // 2), 0
+    def failed(self, heights: int) -> int:
+        """Notes that a range of so many heights failed, and says how many to ask for instead.
+
+        A range wider than the span was cut before the span shrank, so it says nothing new.
+        """
+        if heights <= self.now:
+            self.now, self.good = max(1, -(-heights // 2)), 0
+        return self.now
 
     def succeeded(self) -> None:
         self.good += 1
@@ -34,29 +40,35 @@ class Span:
 
 @dataclass
 class Pace:
-    """Waits between retries: from 250 ms, doubled to 30 s at most; a success takes an eighth off."""
+    """Waits between retries: from 250 ms, doubled to 30 s at most; a success takes an eighth off.
+
+    Requests under way together fail together, so one that was sent before the last doubling does not double again.
+    """
 
     wait: float = 0.0
     first: float = 0.25
     most: float = 30.0
+    doubled: float = float("-inf")
 
-    def failed(self, retry_after: float | None = None) -> float:
-        self.wait = min(self.most, max(self.first, self.wait * 2))
-        return max(self.wait, retry_after or 0.0)
+    def failed(self, retry_after: float | None = None, sent: float | None = None, now: float = 0.0) -> float:
+        if sent is None or sent >= self.doubled:
+            self.wait, self.doubled = min(self.most, max(self.first, self.wait * 2)), now
+        return min(self.most, max(self.wait, retry_after or 0.0))
 
     def succeeded(self) -> None:
         self.wait = self.wait * 7 / 8 if self.wait > self.first else 0.0
 
 
-def retried[T](call: Callable[[], T], pace: Pace, tries: int = 10, sleep: Callable[[float], None] = time.sleep) -> T:
+def retried[T](call: Callable[[], T], pace: Pace, tries: int = 10, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> T:
     """The answer of ``call``, after as many retries as allowed."""
     for k in range(tries + 1):
+        sent = clock()
         try:
             out = call()
         except OSError as error:
             if k == tries:
                 raise
-            sleep(pace.failed(getattr(error, "retry_after", None)))
+            sleep(pace.failed(getattr(error, "retry_after", None), sent, clock()))
         else:
             pace.succeeded()
             return out
@@ -74,6 +86,22 @@ def halved[T](fetch: Callable[[int, int], list[T]], low: int, high: int) -> list
         return halved(fetch, low, mid) + halved(fetch, mid + 1, high)
 
 
+def spanned[T](fetch: Callable[[int, int], list[T]], low: int, high: int, span: Span) -> Iterator[tuple[int, int, list[T]]]:
+    """(first, last, answer) over a range, in pieces that the span allows; a piece that fails is asked again in smaller ones."""
+    while low <= high:
+        last = min(high, low + span.now - 1)
+        try:
+            got = fetch(low, last)
+        except OSError:
+            if last == low:
+                raise
+            span.failed(last - low + 1)
+            continue
+        span.succeeded()
+        yield low, last, got
+        low = last + 1
+
+
 def ordered_prefetch[T](jobs: Iterator[Callable[[], T]], ahead: int) -> Iterator[T]:
     """Answers in the order of the jobs, with at most ``ahead`` of them under way; leaving stops the rest."""
     with ThreadPoolExecutor(ahead) as pool:

@@ -18,24 +18,33 @@ SCHEMA = "height bigint, hash string, parent_hash string, timestamp bigint, json
 
 
 class BlockStore:
-    """A folder with ``blocks.ndjson`` files: one block for each line."""
+    """A folder with NDJSON files: one block for each line.
+
+    A file named by a number holds the heights from that number to below the next file's; files with other names may hold any.
+    """
 
     def __init__(self, path: str):
-        self.files = sorted(Path(path).glob("*.ndjson"))
+        files = sorted(Path(path).glob("*.ndjson"))
+        self.ranged = sorted((int(f.stem), f) for f in files if f.stem.isdigit())
+        self.others = [f for f in files if not f.stem.isdigit()]
 
     def head(self) -> int:
-        return max((b["height"] for b in self._all()), default=-1)
+        newest = [f for _, f in self.ranged[-1:]]
+        return max((b["height"] for b in self._read([*newest, *self.others])), default=-1)
 
     def range(self, low: int, high: int) -> Iterator[dict]:
         """Blocks of [low, high] by height; of one height, the last in the files counts."""
-        found = {b["height"]: b for b in self._all() if low <= b["height"] <= high}
+        ends = [first for first, _ in self.ranged[1:]] + [high + 1]
+        files = [f for (first, f), end in zip(self.ranged, ends, strict=False) if first <= high and end > low]
+        found = {b["height"]: b for b in self._read([*files, *self.others]) if low <= b["height"] <= high}
         if missing := set(range(low, high + 1)) - set(found):
             raise ValueError(f"no blocks {sorted(missing)[:5]}")
         for h in sorted(found):
             yield found[h]
 
-    def _all(self) -> Iterator[dict]:
-        for f in self.files:
+    @staticmethod
+    def _read(files: list[Path]) -> Iterator[dict]:
+        for f in files:
             with f.open() as lines:
                 yield from map(json.loads, lines)
 
@@ -72,17 +81,17 @@ class BlockReader(DataSourceReader):
 
 
 class HeadReader(SimpleDataSourceStreamReader):
-    """Follows the heads: each read gives the blocks above the last one."""
+    """Follows the heads: each read gives the blocks above the last one, ``most`` at a time."""
 
     def __init__(self, options: dict):
-        self.path, self.start = options["path"], int(options.get("from", 0))
+        self.path, self.start, self.most = options["path"], int(options.get("from", 0)), int(options.get("most", 1_024))
 
     def initialOffset(self):
         return {"next": self.start}
 
     def read(self, start):
         store, at = BlockStore(self.path), start["next"]
-        head = store.head()
+        head = min(store.head(), at + self.most - 1)
         return iter([row(b) for b in (store.range(at, head) if head >= at else ())]), {"next": max(at, head + 1)}
 
     def readBetweenOffsets(self, start, end):
@@ -91,7 +100,7 @@ class HeadReader(SimpleDataSourceStreamReader):
 
 
 class BlockSource(DataSource):
-    """``spark.read.format("chain_blocks").option("path", ...)``, with ``from``, ``to`` and ``span``."""
+    """``spark.read.format("chain_blocks").option("path", ...)``, with ``from``, ``to`` and ``span``; streams take ``from`` and ``most``."""
 
     @classmethod
     def name(cls):

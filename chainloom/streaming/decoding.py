@@ -38,8 +38,8 @@ def block_logs(blocks: DataFrame, chain: str) -> DataFrame:
 class Decoding:
     """A ``transform`` for ``streaming.runner.Pipeline``."""
 
-    def __init__(self, store: Store, catalog: Catalog, chain: str, rounds: int = 4):
-        self.store, self.catalog, self.chain, self.rounds = store, catalog, chain, rounds
+    def __init__(self, store: Store, catalog: Catalog, chain: str):
+        self.store, self.catalog, self.chain = store, catalog, chain
         self.session_written = False
         self.gone: list[str] = []
 
@@ -58,7 +58,7 @@ class Decoding:
         logs = block_logs(blocks, self.chain)
         base, found = self.known(), None
         known = base
-        for _ in range(self.rounds):  # a batch is bounded, and so is the depth of creations in it
+        while True:  # each round finds a contract at least, and a batch holds finitely many
             new = created(logs, self.catalog, known)
             if new.limit(1).count() == 0:
                 break

@@ -54,6 +54,12 @@ def test_exact_sums_pass_256_bits(spark):
     assert df.agg(W.exact_sum(F.col("t")).alias("s")).first().s == str(sum(values))
 
 
+def test_exact_sums_of_negative_numbers(spark):
+    for values in ([-5, 3], [5, -3], [-(2**255), 2**255], [-(2**256) + 1, 10**77, -12, 7], [10**19, -1], [-(10**38), 10**19], [-1], [0]):
+        df = spark.createDataFrame([(str(v),) for v in values] + [(None,)], "t string")
+        assert df.agg(W.exact_sum(F.col("t")).alias("s")).first().s == str(sum(values))
+
+
 def test_quantities(spark):
     df = spark.createDataFrame([("0x01",), ("0x0000",), ("0x",), ("12",), ("0xzz",), ("0x" + "f" * 64,), (None,)], "t string")
     assert [r.q for r in df.select(W.quantity(F.col("t")).alias("q")).collect()] == ["1", "0", None, "12", None, str(2**256 - 1), None]

@@ -33,16 +33,43 @@ def test_span_and_pace():
     s = fetch.Span()
     for _ in range(20):
         s.succeeded()
-    assert s.now == 200
-    s.failed()
-    assert s.now == 100
+    assert s.now == 100  # never more
+    assert s.failed(100) == 50 and s.failed(100) == 50  # a range wider than the span says nothing new
+    assert s.failed(25) == 13
+    for _ in range(20):
+        s.succeeded()
+    assert s.now == 26
+    assert [s.failed(s.now) for _ in range(6)] == [13, 7, 4, 2, 1, 1]
     p = fetch.Pace()
     assert [p.failed() for _ in range(9)] == [0.25, 0.5, 1, 2, 4, 8, 16, 30, 30]
-    assert p.failed(40) == 40
+    assert p.failed(40) == 30
+    burst = fetch.Pace()
+    assert [burst.failed(None, 1.0, 2.0), burst.failed(None, 1.5, 2.1), burst.failed(None, 2.2, 3.0)] == [0.25, 0.25, 0.5]
     p.succeeded()
     assert p.wait == 26.25
 
 
+def test_a_span_learns_what_is_served():
+    asked = []
+
+    def fetch_range(low, high):
+        asked.append(high - low + 1)
+        if high - low + 1 > 30:
+            raise OSError
+        return list(range(low, high + 1))
+
+    span = fetch.Span()
+    got = [h for _, _, part in fetch.spanned(fetch_range, 5, 204, span) for h in part]
+    assert got == list(range(5, 205))
+    assert asked[:3] == [100, 50, 25] and max(asked[3:]) <= 25
+
+    def never(low, high):
+        raise OSError
+
+    with pytest.raises(OSError):
+        list(fetch.spanned(never, 1, 9, fetch.Span()))
+
+
 def test_retries_end():
     calls, waits = [], []
 
