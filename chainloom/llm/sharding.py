@@ -24,6 +24,8 @@ from chainloom.llm.common import cut
 
 #: Hash buckets in which quotas are met.
 BUCKETS = 512
+#: Rows of one group that a join sends to one task, about.
+SHARE = 256
 #: Rows that a bucket of the final numbering has on average.
 NUMBERED = 100_000
 
@@ -58,6 +60,14 @@ def _choose(values: list, index):
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
+def _meet(linked: DataFrame, of_group: DataFrame) -> DataFrame:
+    """``linked`` (with g1, g2, n) joined with ``of_group``, one row for each g1, g2; the rows of a large group are dealt to several tasks."""
+    salts = F.ceil(F.col("n") / SHARE).cast("int")
+    rows = linked.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    dealt = of_group.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return rows.join(dealt, ["g1", "g2", "salt"]).drop("salt")
+
+
 def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
     """``linked`` (id, size, crc, g1, g2, n, shard) after the rounds; no shard is over ``capacity``
     unless it was from the start."""
@@ -74,12 +84,12 @@ def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
         gather = F.least(F.col("n"), F.col("c") + F.col("room"))
         fits = gather == F.col("n")
         rank = F.struct(fits.alias("fits"), (F.col("room") > 0).alias("open"), gather.alias("gather"), "c", F.xxhash64("g1", "shard").alias("tie"), "shard")
-        best = tally.groupBy("g1", "g2").agg(F.max(rank).alias("b"), F.collect_list(F.struct("shard", "c")).alias("in"))  # ``shards`` items at most
+        best = tally.groupBy("g1", "g2", "n").agg(F.max(rank).alias("b"), F.collect_list(F.struct("shard", "c")).alias("in"))  # ``shards`` items at most
         here = F.element_at(F.filter("in", lambda x: x["shard"] == F.col("shard")), 1)["c"]
         want = F.when(F.col("b.fits") | (F.col("b.gather") > here), F.col("b.shard")).otherwise(F.col("shard"))
         # members of a group move together, but a group too large for a shard moves document by document
         bucket = F.pmod(F.when(F.col("n") * 64 > capacity, F.xxhash64("id", "g2")).otherwise(F.xxhash64("g2", "g1")), F.lit(BUCKETS)).cast("int")
-        wish = cut(linked.join(best, ["g1", "g2"]).withColumn("want", want).withColumn("bucket", bucket).drop("b", "in"))
+        wish = cut(_meet(linked, best).withColumn("want", want).withColumn("bucket", bucket).drop("b", "in"))
         counts = wish.groupBy("shard", "want", "bucket").count().collect()  # shards * shards * BUCKETS rows at most
         size = [0] * shards
         asked: dict[tuple[int, int], list[int]] = {}
@@ -116,8 +126,8 @@ def end_to_end(linked: DataFrame, groups: DataFrame, shards: int, buckets: int)
     total = sums.agg(F.sum("rows")).first()[0] or 0
     share = [total // shards + (s < total % shards) for s in range(shards)]
     placed = part.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(ahead), F.col("part") == F.col("of_part"))
-    placed = placed.withColumn("start", F.col("ahead") + F.col("inside")).select("g1", "g2", "start", _upto(share, F.col("start")).alias("shard"), _upto(share, F.col("start") + F.col("n") - 1).alias("end"))
-    rows = cut(linked.join(placed, ["g1", "g2"]))
+    placed = placed.withColumn("start", F.col("ahead") + F.col("inside")).select("g1", "g2", "n", "start", _upto(share, F.col("start")).alias("shard"), _upto(share, F.col("start") + F.col("n") - 1).alias("end"))
+    rows = cut(_meet(linked.drop("shard"), placed))
     across = _numbered(rows.where("shard <> end"), buckets, ["g1", "g2"], "rank")
     across = across.withColumn("shard", _upto(share, F.col("start") + F.col("rank"))).drop("rank")
     return cut(rows.where("shard = end").unionByName(across).drop("start", "end"))
