@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from chainloom.llm.common import cut, partitions
 
 
+#: Copies of one text that a task compares with the first, about.
+SHARE = 256
+
+
 def _java(cls: str, method: str, *args):
     return F.call_function("reflect", F.lit(cls), F.lit(method), *args)
 
@@ -65,13 +69,17 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = _named(df, id_col, text_col)
     slim = cut(rows.select("id", fingerprint(F.col("text")).alias("fp")))
-    # stored, so that the join below deals out both sides itself and can split a bucket with very many ids
+    # stored, so that the join with it deals out both sides itself and can split a bucket with very many ids
     first = cut(slim.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(slim.join(first, "fp").select("id", "rep"))
-    member = rows.join(members.distinct(), "id").select("id", "rep", canonical(F.col("text")).alias("mine"))
-    heads = rows.join(members.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("head"), canonical(F.col("text")).alias("theirs"))
-    heads = heads.groupBy("head").agg(F.min("theirs").alias("theirs"))
-    compared = member.join(heads, F.col("rep") == F.col("head"))
+    salts = F.ceil(F.col("n") / SHARE).cast("int")
+    members = cut(slim.join(first, "fp").select("id", "rep", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt")).distinct())
+    member = rows.join(members, "id").select("id", "rep", "salt", canonical(F.col("text")).alias("mine"))
+    known = first.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
+    heads = rows.join(known, "id").select(F.col("id").alias("head"), "n", canonical(F.col("text")).alias("theirs"))
+    # the first document's text goes to as many tasks as its copies need
+    heads = heads.groupBy("head").agg(F.min("theirs").alias("theirs"), F.max(salts).alias("salts"))
+    heads = heads.select("head", "theirs", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("of_salt"))
+    compared = member.join(heads, (F.col("rep") == F.col("head")) & (F.col("salt") == F.col("of_salt")))
     same = compared.where(F.col("mine") == F.col("theirs")).select("id", F.col("rep").alias("group_id"))
     other = compared.where(F.col("mine") != F.col("theirs"))
     own = other.groupBy("rep", "mine").agg(F.min("id").alias("group_id"))
