@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import cut, partitions
@@ -301,8 +301,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     for nearest in (True, False):
         label = components(links)
         comp = members.select("cluster", "id").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"))
-        apart = comp.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster")
-        rows = cut(comp.join(apart, "cluster"))
+        whole = Window.partitionBy("cluster")
+        comp = comp.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole))
+        rows = cut(comp.where("low <> high").select("cluster", "id", "comp"))
         if not rows.limit(1).count():
             break
         rows = rows.join(named, "id").select("cluster", "id", "comp", "n", "fp").repartition(n, "cluster").sortWithinPartitions("cluster")
