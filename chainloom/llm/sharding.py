@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import cut
+from chainloom.llm.common import cut, partitions
 
 #: Hash buckets in which quotas are met.
 BUCKETS = 512
 #: Rows of one group that a join sends to one task, about.
 SHARE = 256
-#: Rows that a bucket of the final numbering has on average.
+#: Rows that a bucket of the final numbering has on average, at most.
 NUMBERED = 100_000
 
 
@@ -160,7 +160,7 @@ def balanced_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = cut(groups)
     marked = cut(base.join(groups, ["g1", "g2"], "left"))
     target = [total // shards + (s < total % shards) for s in range(shards)]
-    buckets = max(16, total // NUMBERED)
+    buckets = max(4 * partitions(df.sparkSession), total // NUMBERED)  # several for each task
     linked = propagate(end_to_end(marked.where("n is not null"), groups, shards, buckets), shards, total // shards)
     single = marked.where("n is null")
     size = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}  # ``shards`` rows
