@@ -7,12 +7,12 @@ sets are held as one.
 Candidates: two sets at that likeness differ in some 15 of 100 bits. Each fingerprint is sent under
 ``keys`` keys of ``width`` of its bits, so many that all keys miss such a pair in 5 of 1,000 cases. Under one key
 a binary trie over bits that are in no key is joined with itself, and node pairs are pruned beyond
-the error budget, which lies 4 standard deviations above what such a pair differs in.
+the error budget, which lies 3 standard deviations above what such a pair differs in; sets whose sizes differ too much are no candidates.
 No pair links without its sets being compared.
 
 Pairs are not listed inside groups of copies. First all rows of a cluster are compared with the one
 in its middle. Where a cluster still holds several groups, each row is compared with the nearest
-of another group, and what is then still apart with all candidates of other groups; the trie join prunes
+of another group (by the bits that travel), and what is then still apart with all candidates of other groups; the trie join prunes
 node pairs that lie in one group.
 
 Scale: keys travel with 128 bits of the fingerprint. The width grows with the logarithm of the number of sets, so a key has
@@ -59,9 +59,14 @@ def differing(likeness: float) -> float:
 
 
 def budget(bits: int, likeness: float) -> int:
-    """Bits in which two such sets differ at most, but for a few of 100,000 pairs."""
+    """Bits in which two such sets differ at most, but for 1 to 2 of 1,000 pairs."""
     p = differing(likeness)
-    return math.ceil(p * bits + 4.2 * math.sqrt(p * (1 - p) * bits))
+    return math.ceil(p * bits + 3 * math.sqrt(p * (1 - p) * bits))
+
+
+def comparable(n: np.ndarray, u, v, likeness: float) -> np.ndarray:
+    """Whether sets of sizes ``n[u]`` and ``n[v]`` can be that much alike."""
+    return np.minimum(n[u], n[v]) >= likeness * np.maximum(n[u], n[v]) - 1e-6
 
 
 def layout(sets: int, likeness: float) -> tuple[int, int]:
@@ -169,7 +174,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _clusters(likeness: float):
-    """Rows (cluster, hub, id, near): each row of a cluster with the middle; ``near`` if it is a candidate of it."""
+    """Rows (cluster, hub, id, near, n, a, b): each row of a cluster with the middle; ``near`` if it is a candidate of it."""
     most = budget(64 * HEAD, likeness)
 
     def piece(key, a, b, n, ids):
@@ -185,7 +190,7 @@ def _clusters(likeness: float):
             rows = np.arange(lo, hi)
             while len(rows) > HOT:
                 mid = int(_middles(head[rows], ids[rows], np.zeros(len(rows), np.int64))[0])
-                near = popcount(head[rows] ^ head[rows[mid]]).sum(axis=1) <= most
+                near = (popcount(head[rows] ^ head[rows[mid]]).sum(axis=1) <= most) & comparable(n, rows, rows[mid], likeness)
                 if near.sum() < len(rows) // 16:
                     break
                 hub[rows[near]] = rows[mid]
@@ -193,9 +198,9 @@ def _clusters(likeness: float):
                 rows = rows[~near]
         rows = np.flatnonzero(left)
         if len(rows):
-            h, g = head[rows], group[rows]
+            h, g, size = head[rows], group[rows], n[rows]
             rest, width = _trie_bits(g, h[:, 0])
-            label = trie_self_join(g, rest, width, min(most, budget(width, likeness)), lambda u, v: popcount(h[u] ^ h[v]).sum(axis=1) <= most)
+            label = trie_self_join(g, rest, width, min(most, budget(width, likeness)), lambda u, v: (popcount(h[u] ^ h[v]).sum(axis=1) <= most) & comparable(size, u, v, likeness))
             many = np.flatnonzero(np.bincount(label, minlength=len(rows))[label] > 1)
             if len(many):
                 order = many[np.argsort(label[many], kind="stable")]
@@ -208,8 +213,8 @@ def _clusters(likeness: float):
         alone = mine < 0
         mine[alone] = out[alone]
         cluster = _mixed(key[out]) ^ np.where(hot[out], np.uint64(0), _mixed(ids[mine] + 1))
-        near = (mine != out) & (popcount(head[out] ^ head[mine]).sum(axis=1) <= most) & (np.minimum(n[out], n[mine]) >= likeness * np.maximum(n[out], n[mine]) - 1e-6)
-        return pa.RecordBatch.from_arrays([pa.array(cluster.view(np.int64)), pa.array(ids[mine]), pa.array(ids[out]), pa.array(near)], names=["cluster", "hub", "id", "near"])
+        near = (mine != out) & (popcount(head[out] ^ head[mine]).sum(axis=1) <= most) & comparable(n, out, mine, likeness)
+        return pa.RecordBatch.from_arrays([pa.array(cluster.view(np.int64)), pa.array(ids[mine]), pa.array(ids[out]), pa.array(near), pa.array(n[out]), pa.array(a[out]), pa.array(b[out])], names=["cluster", "hub", "id", "near", "n", "a", "b"])
 
     def run(batches):
         for cols in pieces(batches):
@@ -219,21 +224,24 @@ def _clusters(likeness: float):
 
 
 def _across(likeness: float, nearest: bool):
-    """Rows (hub, id) of candidates in one cluster but in different groups: for each row the nearest, or all."""
-    most = budget(64 * WORDS, likeness)
+    """Rows (hub, id) of candidates in one cluster but in different groups: for each row the nearest, or all.
+
+    Fingerprints come whole, as one column, or as the words of their heads.
+    """
 
     def rows_of(hub, ids):
         return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(ids)], names=["hub", "id"])
 
     def run(batches):
-        for cluster, ids, comp, n, fp in pieces(batches):
-            fp = np.ascontiguousarray(fp)
+        for cluster, ids, comp, n, *parts in pieces(batches):
+            fp = np.ascontiguousarray(parts[0] if parts[0].ndim == 2 else np.stack(parts, axis=1)).view(np.uint64)
+            most = budget(64 * fp.shape[1], likeness)
             group = np.cumsum(np.concatenate([[0], (cluster[1:] != cluster[:-1]).astype(np.int64)]))
             rest, width = _trie_bits(group, fp[:, 0])
             best = np.full(len(ids), np.iinfo(np.int64).max)
             for u, v in trie_pairs(group, rest, width, budget(width, likeness), comp):
                 far = popcount(fp[u] ^ fp[v]).sum(axis=1)
-                ok = (comp[u] != comp[v]) & (far <= most) & (np.minimum(n[u], n[v]) >= likeness * np.maximum(n[u], n[v]) - 1e-6)
+                ok = (comp[u] != comp[v]) & (far <= most) & comparable(n, u, v, likeness)
                 u, v, far = u[ok], v[ok], far[ok]
                 if not nearest:
                     yield rows_of(ids[u], ids[v])
@@ -294,19 +302,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     named = sets.where("id is not null").select("id", "fp", "n")
     width, keys = layout(sets.count(), likeness)
     sent = named.mapInArrow(_keys(width, keys), "key bigint, a bigint, b bigint, n bigint, id bigint").repartition(n, "key").sortWithinPartitions("key")
-    members = cut(sent.mapInArrow(_clusters(likeness), "cluster bigint, hub bigint, id bigint, near boolean"))
+    members = cut(sent.mapInArrow(_clusters(likeness), "cluster bigint, hub bigint, id bigint, near boolean, n bigint, a bigint, b bigint"))
     pairs = members.where("near and hub <> id").select("hub", "id").distinct()
     tested = cut(_unordered(pairs))
     links = verified(docs, pairs, shingle, likeness)
     for nearest in (True, False):
         label = components(links)
-        comp = members.select("cluster", "id").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"))
+        comp = members.select("cluster", "id", "n", "a", "b").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"), "n", "a", "b")
         whole = Window.partitionBy("cluster")
         comp = comp.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole))
-        rows = cut(comp.where("low <> high").select("cluster", "id", "comp"))
+        rows = cut(comp.where("low <> high").drop("low", "high"))
         if not rows.limit(1).count():
             break
-        rows = rows.join(named, "id").select("cluster", "id", "comp", "n", "fp").repartition(n, "cluster").sortWithinPartitions("cluster")
+        if not nearest:
+            rows = rows.drop("n", "a", "b").join(named, "id").select("cluster", "id", "comp", "n", "fp")
+        rows = rows.repartition(n, "cluster").sortWithinPartitions("cluster")
         more = _unordered(rows.mapInArrow(_across(likeness, nearest), "hub bigint, id bigint")).join(tested, ["low", "high"], "left_anti")
         more = cut(more)
         tested = tested.unionByName(more)
