@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainloom.functions.abi import Event, decode_columns, native, slot
 from chainloom.functions.abi_values import document
+from chainloom.functions.words import strip
 from chainloom.operators.relate import temporal_contracts
 from chainloom.schema import decoded_key, log_key
 from chainloom.sources.manifest import ZERO, Catalog
@@ -40,10 +41,14 @@ def decode_event(logs: DataFrame, e: Event, keep_unreadable: bool = False) -> Da
     """
     keep = [c for c in ("address", *_PLACE, "chain", "entry") if c in logs.columns]
     if native(e):
-        columns, problem = decode_columns(e, topics(), F.col("data"))
-        out = logs.select(*keep, *[v.alias(f"v_{c}") for c, v in columns.items()], problem.alias("problem"))
-        names = list(columns)
-        out = out.select(*keep, *[F.col(f"v_{c}").alias(c if c not in keep else f"{c}_2") for c in names], "problem")
+        # one row each through a generator: a log's words are stripped once, and a filter on the problem stays above it
+        words = F.array(F.struct(strip(F.col("data")).alias("data"), *[strip(t).alias(name) for t, name in zip(topics(), _TOPICS, strict=True)]))
+
+        def read(x: Column) -> Column:
+            columns, problem = decode_columns(e, [x[t] for t in _TOPICS], x["data"], stripped=True)
+            return F.struct(*[v.alias(c if c not in keep else f"{c}_2") for c, v in columns.items()], problem.alias("problem"))
+
+        out = logs.select(*keep, F.inline(F.transform(words, read)))
     else:
         read = logs.withColumn("d", document(e, topics(), F.col("data")))
         out = read.select(*keep, *[F.get_json_object("d.value", f"$.{c}").alias(c if c not in keep else f"{c}_2") for c in e.columns], F.col("d.error").alias("problem"))
