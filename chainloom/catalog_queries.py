@@ -768,6 +768,139 @@ def oracle_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.oracle_prices(rows, ["p_partkey"]).select("p_partkey", F.col("price_e8").cast("string").alias("price_e8"), "spread0", "feed_timestamp_ms")
 
 
+# Derivations from encoded logs to the rows of their tables
+
+_METRIC_TOML = """
+protocol = "metric_v1"
+[[contract]]
+name = "MetricOmmPool"
+events = [
+  "Swap(address indexed sender, address indexed recipient, uint256 details, uint256 amountDeltas, uint256 platformFees)",
+  "BinSwapped(int256 binIdx, uint256 binDeltas, uint256 fees)",
+  "LiquidityAdded(address indexed provider, uint80 salt, int256[] binIdxs, (int256,int256)[] binBalanceDeltas, uint256[] shares)",
+  "LiquidityRemoved(address indexed provider, uint80 salt, int256[] binIdxs, (int256,int256)[] binBalanceDeltas, uint256[] shares)",
+]
+[[contract]]
+name = "MetricOmmPoolFactory"
+events = ["PoolCreated(address indexed poolAddress, address a1, address a2, uint256 a3, address a4, address a5, address a6, address[] a7, (uint256,uint256,uint256,uint256,uint256,uint256) a8, uint256 a9, uint256 a10, uint256 a11, uint256 a12, uint24 a13, uint24 a14, uint24 a15, uint24 a16, address a17, int24 curBinDistFromProvidedPriceE6, uint256[] nonNegativeBinDataArray, uint256[] negativeBinDataArray)"]
+[[contract]]
+name = "CompressedOracle"
+events = ["FeedUpdated(bytes32 indexed feedId)"]
+"""
+
+
+def metric() -> manifest.Catalog:
+    return manifest.build(manifest.parse(_METRIC_TOML, "base"))
+
+
+def _derived(spark: SparkSession, sf_dir: str, table: str, encoded: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """A derivation's rows of encoded logs (``topic1``, ``topic2``, ``data``, ``entry`` and ``event`` beside their place)."""
+    catalog = metric()
+    events = catalog.events(spark).select(F.col("entry").alias("e"), F.col("name"), "topic0", "signature")
+    matched = encoded.join(F.broadcast(events), (F.col("entry") == F.col("e")) & (F.col("event") == F.col("name"))).withColumn("topic3", F.lit(None).cast("string"))
+    return derive.derivations(catalog)[table](relate.with_sender(matched, transactions(spark, sf_dir) if sent is None else sent))
+
+
+_SENT = f"""(SELECT l.*, t.from_address AS transaction_from_address, t.to_address AS transaction_to_address FROM {LOG} l JOIN {TX} t ON l.l_orderkey = t.o_orderkey)"""
+
+
+@registered(
+    f"""SELECT transaction_hash, log_index, transaction_from_address, transaction_to_address, '0x' || substr(sha256('a' || l_suppkey), 1, 40) AS sender, '0x' || substr(sha256('b' || l_partkey), 1, 40) AS recipient,
+(l_partkey * {_SIGN})::VARCHAR AS amount0_raw, (-l_partkey * {_SIGN})::VARCHAR AS amount1_raw, l_returnflag <> 'R' AND l_partkey > 0 AS zero_for_one, l_linestatus = 'O' AS exact_input, (l_linenumber - 4)::BIGINT AS bin_idx_after, l_orderkey::VARCHAR AS pos_in_bin_after,
+l_suppkey::VARCHAR AS platform_spread_fee_scaled, (l_suppkey + 1)::VARCHAR AS platform_notional_fee_scaled, block_hash || ':' || transaction_hash || ':' || log_index || ':metric_v1_swaps:0' AS dedupe_key FROM {_SENT} WHERE l_orderkey % 9 <> 0"""
+)
+def derived_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Swap logs to rows with sender and recipient; a log whose data is short gives none."""
+    li = logs(spark, sf_dir)
+    amount = F.col("l_partkey") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
+    flag = F.when(F.col("l_linestatus") == "O", "1").otherwise("0")
+    details = F.concat(F.lit("0" * 33), flag, F.lpad(F.lower(F.hex((F.col("l_linenumber") - 4 + 65536) % 65536)), 4, "0"), F.lpad(F.lower(F.hex("l_orderkey")), 26, "0"))
+    data = F.concat(F.lit("0x"), details, _half(amount), _half(-amount), _half(F.col("l_suppkey")), _half(F.col("l_suppkey") + 1))
+    who = lambda value, tag: F.concat(F.lit("0x" + "0" * 24), F.substring(hashed(value, tag), 3, 40))
+    rows = li.withColumns({"topic1": who("l_suppkey", "a"), "topic2": who("l_partkey", "b"), "data": F.when(F.col("l_orderkey") % 9 == 0, F.substring(data, 1, 130)).otherwise(data), "entry": F.lit("metric_v1/MetricOmmPool"), "event": F.lit("Swap")})
+    out = _derived(spark, sf_dir, "metric_v1_swaps", rows)
+    return out.drop("row", "address", "block_number", "block_hash")
+
+
+@registered(f"SELECT transaction_hash, log_index, (l_linenumber - 4)::BIGINT AS bin_idx, l_partkey::VARCHAR AS delta0_scaled, (-l_suppkey)::VARCHAR AS delta1_scaled, l_suppkey::VARCHAR AS lp_fee_scaled, l_partkey::VARCHAR AS platform_fee_scaled FROM {_SENT} WHERE l_linenumber <> 7")
+def derived_bin_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bin beyond 16 bits gives no row."""
+    line = F.col("l_linenumber").cast("bigint")
+    bin_ = encode(F.when(line == 7, F.lit(1 << 20).cast("bigint")).otherwise(line - 4))
+    data = F.concat(F.lit("0x"), bin_, _half(F.col("l_partkey")), _half(-F.col("l_suppkey")), _half(F.col("l_suppkey")), _half(F.col("l_partkey")))
+    none = F.lit(None).cast("string")
+    rows = logs(spark, sf_dir).withColumns({"topic1": none, "topic2": none, "data": data, "entry": F.lit("metric_v1/MetricOmmPool"), "event": F.lit("BinSwapped")})
+    return _derived(spark, sf_dir, "metric_v1_bin_fills", rows).select("transaction_hash", "log_index", "bin_idx", "delta0_scaled", "delta1_scaled", "lp_fee_scaled", "platform_fee_scaled")
+
+
+@registered(
+    f"""SELECT t.hash AS transaction_hash, t.from_address AS transaction_from_address, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::BIGINT AS row, CASE WHEN l_orderkey % 2 = 0 THEN 'remove' ELSE 'add' END AS direction,
+'0x' || substr(sha256('o' || l_orderkey), 1, 40) AS owner, l_orderkey::VARCHAR AS salt, (l_linenumber - 4)::BIGINT AS bin_idx, l_partkey::VARCHAR AS delta0_scaled, (-l_suppkey)::VARCHAR AS delta1_scaled, (CASE WHEN l_orderkey % 2 = 0 THEN -l_partkey ELSE l_partkey END)::VARCHAR AS shares
+FROM lineitem JOIN {TX} t ON l_orderkey = t.o_orderkey WHERE l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 1"""
+)
+def derived_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each bin; arrays that differ in length, and shares beyond a signed word, leave the record without rows."""
+    each = F.struct("l_linenumber", F.col("l_partkey").cast("bigint").alias("p"), F.col("l_suppkey").cast("bigint").alias("s"))
+    o = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(each)).alias("a"))  # an order has seven lines at most
+    n = F.size("a").cast("bigint")
+    short, wide = F.col("l_orderkey") % 5 == 0, F.col("l_orderkey") % 7 == 1
+    text = lambda f: F.concat_ws("", F.transform("a", f))
+    bins = F.concat(encode(n), text(lambda x: encode((x["l_linenumber"] - 4).cast("bigint"))))
+    deltas = F.concat(encode(n), text(lambda x: F.concat(encode(x["p"]), encode(-x["s"]))))
+    shares = F.concat(encode(n + F.when(short, 1).otherwise(0)), text(lambda x: F.when(wide, F.lit("f" * 64)).otherwise(encode(x["p"]))), F.when(short, encode(n)).otherwise(""))
+    heads = F.concat(encode(F.col("l_orderkey").cast("bigint")), encode(F.lit(128).cast("bigint")), encode(160 + 32 * n), encode(192 + 96 * n))
+    owner = F.concat(F.lit("0x" + "0" * 24), F.substring(hashed("l_orderkey", "o"), 3, 40))
+    t = transactions(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "block_hash", F.col("hash").alias("transaction_hash"))
+    rows = o.join(t, "l_orderkey").select("block_hash", "transaction_hash", F.lit(0).alias("log_index"), owner.alias("topic1"), F.lit(None).cast("string").alias("topic2"), F.concat(F.lit("0x"), heads, bins, deltas, shares).alias("data"))
+    rows = rows.withColumns({"entry": F.lit("metric_v1/MetricOmmPool"), "event": F.when(F.substring("data", 66, 1).isin(*"02468ace"), "LiquidityRemoved").otherwise("LiquidityAdded")})
+    out = _derived(spark, sf_dir, "metric_v1_liquidity", rows)
+    return out.select("transaction_hash", "transaction_from_address", F.col("row").cast("bigint").alias("row"), "direction", "owner", "salt", "bin_idx", "delta0_scaled", "delta1_scaled", "shares")
+
+
+def _part_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", F.lit("0xb").alias("block_hash"), hashed("p_partkey", "x").alias("transaction_hash"), F.lit(0).alias("log_index"), F.lit(None).cast("string").alias("topic2"))
+
+
+def _part_sent(rows: DataFrame, data: str | None = None) -> DataFrame:
+    return rows.select("block_hash", F.col("transaction_hash").alias("hash"), F.lit("0xf").alias("from_address"), F.lit(None).cast("string").alias("to_address"), (F.col(data) if data else F.lit("0x")).alias("input"))
+
+
+@registered(
+    """WITH b AS (SELECT p_partkey, unnest([{'i': 0, 'l': p_size, 's': 1}, {'i': 1, 'l': p_size + 1, 's': 1}, {'i': -1, 'l': p_size + 2, 's': -1}]) AS x FROM part)
+SELECT '0x' || sha256('x' || p_partkey) AS transaction_hash, '0x' || substr(sha256('p' || p_partkey), 1, 40) AS pool, x.i::BIGINT AS bin_idx, x.l::BIGINT AS length_e6, 7::BIGINT AS add_fee_buy_e6, 9::BIGINT AS add_fee_sell_e6,
+(CASE x.i WHEN 0 THEN -50 WHEN 1 THEN -50 + x.l - 1 ELSE -50 - x.l END)::BIGINT AS lower_e6, (CASE x.i WHEN 0 THEN -50 + x.l WHEN 1 THEN -50 + 2 * x.l - 1 ELSE -50 END)::BIGINT AS upper_e6, (x.i + 1)::BIGINT AS row FROM b"""
+)
+def derived_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A creation of 21 arguments, one of them a tuple, to the bins of the pool's ladder."""
+    p = _part_logs(spark, sf_dir)
+    size = F.col("p_size").cast("bigint")
+    item = lambda length: F.concat(F.lit("00090007"), F.lpad(F.lower(F.hex(length)), 4, "0"))
+    above = F.concat(F.lit("0" * 4 + "000000000000" * 3), item(size + 1), item(size))
+    below = F.concat(F.lit("0" * 4 + "000000000000" * 4), item(size + 2))
+    zero, one = "0" * 64, F.lit(1).cast("bigint")
+    words = 25  # 20 arguments in the data, of which one takes six words
+    place = lambda k: encode(F.lit(32 * (words + k)).cast("bigint"))
+    head = F.concat(F.lit(zero * 6), place(0), F.lit(zero * (6 + 4 + 4 + 1)), encode(F.lit(-50).cast("bigint")), place(1), place(3))
+    data = F.concat(F.lit("0x"), head, F.lit(zero), encode(one), above, encode(one), below)
+    topic = F.concat(F.lit("0x" + "0" * 24), F.substring(hashed("p_partkey", "p"), 3, 40))
+    rows = p.withColumns({"topic1": topic, "data": data, "entry": F.lit("metric_v1/MetricOmmPoolFactory"), "event": F.lit("PoolCreated")})
+    out = _derived(spark, sf_dir, "metric_v1_pool_bins", rows, _part_sent(rows))
+    return out.select("transaction_hash", "pool", "bin_idx", "length_e6", "add_fee_buy_e6", "add_fee_sell_e6", "lower_e6", "upper_e6", F.col("row").cast("bigint").alias("row"))
+
+
+@registered(
+    """SELECT '0x' || sha256('x' || p_partkey) AS transaction_hash, '0x' || repeat('ab', 30) || '0501' AS feed_id, (p_partkey + 1)::BIGINT AS price_e8, (CASE WHEN p_size < 10 THEN p_size ELSE 12 + 2 * (p_size - 10) END)::BIGINT AS spread0, (1700000000000 + p_partkey)::BIGINT AS feed_timestamp_ms
+FROM part WHERE p_partkey % 4 <> 0"""
+)
+def derived_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price that the calldata of an update's transaction pushed; a zero price gives no row."""
+    k, size, one = F.col("p_partkey"), F.col("p_size").cast("bigint"), F.lit(1).cast("bigint")
+    word = _push(F.when(k % 4 == 0, 0).otherwise(k + 1), size, one, 1_700_000_000_000 + k, F.lit(5).cast("bigint"))
+    rows = _part_logs(spark, sf_dir).withColumns({"topic1": F.lit("0x" + "ab" * 30 + "0501"), "data": F.lit("0x"), "calldata": F.concat(F.lit("0x00"), word), "entry": F.lit("metric_v1/CompressedOracle"), "event": F.lit("FeedUpdated")})
+    out = _derived(spark, sf_dir, "metric_v1_compressed_oracle_prices", rows, _part_sent(rows, "calldata"))
+    return out.select("transaction_hash", "feed_id", F.col("price_e8").cast("bigint").alias("price_e8"), F.col("spread0").cast("bigint").alias("spread0"), "feed_timestamp_ms")
+
+
 # Plans
 
 

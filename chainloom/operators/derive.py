@@ -1,27 +1,53 @@
 """Facts derived from decoded events: packed words, ladders and prices.
 
 Inputs are event tables with their arguments as raw hex words (without 0x where named ``*_word``). Each derivation
-gives one row or several for each record, numbered by ``row`` from 0; what cannot be read gives none.
+gives one row or several for each record, numbered by ``row`` from 0; what cannot be read gives none. ``derived`` goes
+from the logs that a catalog's contracts emitted to the tables that it binds.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions import prices
+from chainloom.functions.abi import Event, decode_columns, native, raw_words
+from chainloom.functions.abi_values import document
 from chainloom.functions.words import decimal_text, field, pseudo_float, signed_small, signed_text, small, spread, strip
+from chainloom.schema import TableDef, derived_key, derived_table, log_key
+
+
+#: What a derived row keeps of its log and of its log's transaction.
+PLACE = ("address", "transaction_hash", "transaction_index", "log_index", "transaction_from_address", "transaction_to_address", "block_number", "block_hash", "block_timestamp", "chain")
 
 
 @dataclass(frozen=True)
 class Derivation:
-    table: str
+    """A table of rows computed from the logs of some events of one contract."""
+
+    protocol: str
     contract: str
     signatures: tuple[str, ...]
-    columns: str
+    table: str
+    columns: tuple[tuple[str, str], ...]
+    indexes: tuple[tuple[str, ...], ...]
+    #: (column, position, name, type) of the arguments that it reads.
+    arguments: tuple[tuple[str, int, str, str], ...]
+    #: Rows from arguments as raw words, given the number of the signature.
+    rows: Callable[[DataFrame, int, list[str]], DataFrame]
+
+    @property
+    def entry(self) -> str:
+        return f"{self.protocol}/{self.contract}"
+
+    def definition(self) -> TableDef:
+        return derived_table(self.table, self.columns, self.indexes)
 
 
 def swap_columns(details: Column, deltas: Column, fees: Column) -> dict[str, Column]:
@@ -157,21 +183,216 @@ def oracle_prices(events: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.lit(0).alias("row"), "feed_id", "_p.price_e8", "_p.spread0", "_p.feed_timestamp_ms")
 
 
+def text_address(word: str) -> Column:
+    return F.concat(F.lit("0x"), F.substring(word, 25, 40))
+
+
+def _swap_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+    named = events.withColumns({"sender": text_address("sender_word"), "recipient": text_address("recipient_word")})
+    return swaps(named, [*keep, "sender", "recipient"])
+
+
+def _fill_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+    return bin_fills(events, keep)
+
+
+def _liquidity_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+    """A bin beyond 16 bits or shares beyond a signed word leave the whole record without rows."""
+    removed = signature == 1
+    lowest = "8" + "0" * 63
+    fits = lambda w: (F.substring(w, 1, 1) < "8") | (F.lit(removed) & (w == lowest))
+    good = events.where(F.forall("bin_words", lambda w: int16(w).isNotNull()) & F.forall("share_words", fits))
+    read = good.select(
+        *keep, text_address("owner_word").alias("owner"), decimal_text(F.col("salt_word")).alias("salt"), F.lit(removed).alias("removed"), F.transform("bin_words", int16).alias("bins"),
+        F.transform("delta_words", lambda w: F.struct(signed_text(F.substring(w, 1, 64)).alias("delta0"), signed_text(F.substring(w, 65, 64)).alias("delta1"))).alias("deltas"),
+        F.transform("share_words", lambda w: decimal_text(w)).alias("shares"),
+    )
+    return liquidity(read, [*keep, "owner", "salt"])
+
+
+def _ladder_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+    read = events.select(*keep, text_address("pool_word").alias("pool"), signed_small(field(F.col("lower_word"), 0, 24), 24).alias("bin0_lower"), "above", "below")
+    return pool_bins(read, [*keep, "pool"])
+
+
+def _price_rows(events: DataFrame, signature: int, keep: list[str], read: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    return read(events.withColumn("feed_id", F.concat(F.lit("0x"), "feed_word")), keep)
+
+
+#: Tables, their contracts and events, columns and indexes, and the arguments that they are computed from.
 DERIVATIONS = (
-    Derivation("metric_v1_swaps", "MetricOmmPool", ("Swap(address,address,uint256,uint256,uint256)",), "sender recipient amount0_raw:bigint amount1_raw:bigint zero_for_one:bool exact_input:bool bin_idx_after:int pos_in_bin_after:bigint platform_spread_fee_scaled:bigint platform_notional_fee_scaled:bigint"),
-    Derivation("metric_v1_bin_fills", "MetricOmmPool", ("BinSwapped(int256,uint256,uint256)",), "bin_idx:int delta0_scaled:bigint delta1_scaled:bigint lp_fee_scaled:bigint platform_fee_scaled:bigint"),
-    Derivation("metric_v1_liquidity", "MetricOmmPool", ("LiquidityAdded(address,uint80,int256[],(int256,int256)[],uint256[])", "LiquidityRemoved(address,uint80,int256[],(int256,int256)[],uint256[])"), "direction owner salt:bigint bin_idx:int delta0_scaled:bigint delta1_scaled:bigint shares:bigint"),
-    Derivation("metric_v1_pool_bins", "MetricOmmPoolFactory", ("PoolCreated(address,address,address,uint256,address,address,address,address[],(uint256,uint256,uint256,uint256,uint256,uint256),uint256,uint256,uint256,uint256,uint24,uint24,uint24,uint24,address,int24,uint256[],uint256[])",), "pool bin_idx:int length_e6:int add_fee_buy_e6:int add_fee_sell_e6:int lower_e6:int upper_e6:int"),
-    Derivation("metric_v1_oracle_prices", "OracleProvider", ("FeedUpdated(bytes32)",), "feed_id price_e8:uint spread0:uint feed_timestamp_ms:uint"),
-    Derivation("metric_v1_compressed_oracle_prices", "CompressedOracle", ("FeedUpdated(bytes32)",), "feed_id price_e8:uint spread0:uint spread1:uint feed_timestamp_ms:uint"),
-)
-
-
-def bound(catalog) -> dict[str, str]:
-    """Derivations whose every signature its contract declares: table to entry."""
-    out = {}
+    Derivation(
+        "metric_v1",
+        "MetricOmmPool",
+        ("Swap(address,address,uint256,uint256,uint256)",),
+        "metric_v1_swaps",
+        (
+            ("sender", "text"),
+            ("recipient", "text"),
+            ("amount0_raw", "bigint"),
+            ("amount1_raw", "bigint"),
+            ("zero_for_one", "bool"),
+            ("exact_input", "bool"),
+            ("bin_idx_after", "int"),
+            ("pos_in_bin_after", "bigint"),
+            ("platform_spread_fee_scaled", "bigint"),
+            ("platform_notional_fee_scaled", "bigint"),
+        ),
+        (("chain", "address", "block_number", "log_index"),),
+        (
+            ("sender_word", 0, "sender", "address"),
+            ("recipient_word", 1, "recipient", "address"),
+            ("details_word", 2, "details", "uint256"),
+            ("deltas_word", 3, "amountDeltas", "uint256"),
+            ("fees_word", 4, "platformFees", "uint256"),
+        ),
+        _swap_rows,
+    ),
+    Derivation(
+        "metric_v1",
+        "MetricOmmPool",
+        ("BinSwapped(int256,uint256,uint256)",),
+        "metric_v1_bin_fills",
+        (
+            ("bin_idx", "int"),
+            ("delta0_scaled", "bigint"),
+            ("delta1_scaled", "bigint"),
+            ("lp_fee_scaled", "bigint"),
+            ("platform_fee_scaled", "bigint"),
+        ),
+        (("chain", "address", "block_number"),),
+        (
+            ("bin_word", 0, "binIdx", "int256"),
+            ("deltas_word", 1, "binDeltas", "uint256"),
+            ("fees_word", 2, "fees", "uint256"),
+        ),
+        _fill_rows,
+    ),
+    Derivation(
+        "metric_v1",
+        "MetricOmmPool",
+        (
+            "LiquidityAdded(address,uint80,int256[],(int256,int256)[],uint256[])",
+            "LiquidityRemoved(address,uint80,int256[],(int256,int256)[],uint256[])",
+        ),
+        "metric_v1_liquidity",
+        (
+            ("direction", "text"),
+            ("owner", "text"),
+            ("salt", "bigint"),
+            ("bin_idx", "int"),
+            ("delta0_scaled", "bigint"),
+            ("delta1_scaled", "bigint"),
+            ("shares", "bigint"),
+        ),
+        (("chain", "owner"), ("chain", "transaction_from_address"), ("chain", "address", "owner")),
+        (
+            ("owner_word", 0, "provider", "address"),
+            ("salt_word", 1, "salt", "uint80"),
+            ("bin_words", 2, "binIdxs", "int256[]"),
+            ("delta_words", 3, "binBalanceDeltas", "(int256,int256)[]"),
+            ("share_words", 4, "shares", "uint256[]"),
+        ),
+        _liquidity_rows,
+    ),
+    Derivation(
+        "metric_v1",
+        "MetricOmmPoolFactory",
+        (
+            "PoolCreated(address,address,address,uint256,address,address,address,address[],"
+            "(uint256,uint256,uint256,uint256,uint256,uint256),uint256,uint256,uint256,uint256,"
+            "uint24,uint24,uint24,uint24,address,int24,uint256[],uint256[])",
+        ),
+        "metric_v1_pool_bins",
+        (
+            ("pool", "text"),
+            ("bin_idx", "int"),
+            ("length_e6", "int"),
+            ("add_fee_buy_e6", "int"),
+            ("add_fee_sell_e6", "int"),
+            ("lower_e6", "int"),
+            ("upper_e6", "int"),
+        ),
+        (("chain", "pool", "transaction_from_address"),),
+        (
+            ("pool_word", 0, "poolAddress", "address"),
+            ("lower_word", 18, "curBinDistFromProvidedPriceE6", "int24"),
+            ("above", 19, "nonNegativeBinDataArray", "uint256[]"),
+            ("below", 20, "negativeBinDataArray", "uint256[]"),
+        ),
+        _ladder_rows,
+    ),
+    Derivation(
+        "metric_v1",
+        "OracleProvider",
+        ("FeedUpdated(bytes32)",),
+        "metric_v1_oracle_prices",
+        (("feed_id", "text"), ("price_e8", "uint"), ("spread0", "uint"), ("feed_timestamp_ms", "uint")),
+        (("chain", "address", "feed_id", "block_number"), ("chain", "address", "feed_id", "block_timestamp")),
+        (("feed_word", 0, "feedId", "bytes32"),),
+        partial(_price_rows, read=oracle_prices),
+    ),
+    Derivation(
+        "metric_v1",
+        "CompressedOracle",
+        ("FeedUpdated(bytes32)",),
+        "metric_v1_compressed_oracle_prices",
+        (("feed_id", "text"), ("price_e8", "uint"), ("spread0", "uint"), ("spread1", "uint"), ("feed_timestamp_ms", "uint")),
+        (("chain", "address", "feed_id", "block_number"), ("chain", "address", "feed_id", "block_timestamp")),
+        (("feed_word", 0, "feedId", "bytes32"),),
+        partial(_price_rows, read=compressed_prices),
+    ),
+)
+
+
+def bound(catalog) -> list[tuple[Derivation, list[Event]]]:
+    """Derivations whose every signature their contract declares, with the events in the order of the signatures."""
+    out = []
     for d in DERIVATIONS:
-        for c in catalog.contracts:
-            if c.name == d.contract and {e.signature for e in c.events.values()} >= set(d.signatures):
-                out[d.table] = c.entry
+        events = {e.signature: e for c in catalog.contracts if c.entry == d.entry for e in c.events.values()}
+        if events.keys() >= set(d.signatures):
+            out.append((d, [events[s] for s in d.signatures]))
     return out
+
+
+def arguments(logs: DataFrame, e: Event, wanted: tuple[tuple[str, int, str, str], ...]) -> DataFrame:
+    """Readable logs of an event with some of its arguments as raw words."""
+    topics = ["topic0", "topic1", "topic2", "topic3"]
+    keep = [c for c in (*PLACE, "transaction_input") if c in logs.columns]
+
+    def raw(x: Callable[[str], Column]) -> list[Column]:
+        return [raw_words(e, at, name, kind, [x(t) for t in topics], x("data")).alias(column) for column, at, name, kind in wanted]
+
+    if not native(e):
+        read = logs.withColumn("_d", document(e, [F.col(t) for t in topics], F.col("data"))).where("_d.error is null")
+        return read.withColumns({c: strip(F.col(c)) for c in [*topics, "data"]}).select(*keep, *raw(F.col))
+    stripped = F.array(F.struct(*[strip(F.col(c)).alias(c) for c in ["data", *topics]]))
+
+    def one(x: Column) -> Column:
+        return F.struct(*raw(lambda c: x[c]), decode_columns(e, [x[t] for t in topics], x["data"], stripped=True)[1].alias("_problem"))
+
+    return logs.select(*keep, F.inline(F.transform(stripped, one))).where("_problem is null").drop("_problem")
+
+
+def derived(matched: DataFrame, d: Derivation, events: list[Event]) -> DataFrame:
+    """A derivation's table from logs matched with the catalog's events, with their transactions' columns.
+
+    An event whose arguments are not the ones that the derivation reads gives no row, with a warning.
+    """
+    keep = [c for c in PLACE if c in matched.columns]
+    parts = []
+    for i, e in enumerate(events):
+        mine = matched.where((F.col("entry") == d.entry) & (F.col("signature") == e.signature))
+        try:
+            parts.append(d.rows(arguments(mine, e, d.arguments), i, keep))
+        except ValueError as error:
+            warnings.warn(f"{d.table}: {error}", stacklevel=2)
+    if not parts:
+        return matched.sparkSession.createDataFrame([], d.definition().schema())
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.withColumn("dedupe_key", derived_key(log_key(F.col("block_hash"), F.col("transaction_hash"), F.col("log_index")), d.table, F.col("row")))
+
+
+def derivations(catalog) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """By table, what computes its rows from matched logs with their transactions' columns."""
+    return {d.table: partial(derived, d=d, events=events) for d, events in bound(catalog)}

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.operators.decode import decode_event, discover, eligible, first_claims, created
+from chainloom.operators.derive import derivations
 from chainloom.operators.relate import coverage, with_sender
 from chainloom.operators.store import Store
-from chainloom.schema import derived_key, log_key
+from chainloom.schema import handoff_key, log_key
 from chainloom.sources.manifest import Catalog
 
 #: A replay ends this many ledgers below the tip, where nothing can be retracted.
@@ -41,8 +42,8 @@ def discover_all(store: Store, catalog: Catalog, below: DataFrame | None, high:
     return discover(logs, catalog, cut)
 
 
-def replay(store: Store, catalog: Catalog, low: int, high: int, contracts: DataFrame, derive: dict | None = None) -> None:
-    """Decodes the stored logs of a height range again and appends the rows that the tables lack.
+def replay(store: Store, catalog: Catalog, low: int, high: int, contracts: DataFrame) -> None:
+    """Decodes the stored logs of a height range again and appends the rows that the tables lack, derived ones included.
 
     All found contracts count from the start of the range, as a running pipeline restores them. Running it again
     appends nothing.
@@ -58,17 +59,15 @@ def replay(store: Store, catalog: Catalog, low: int, high: int, contracts: DataF
                 mine = matched.where((F.col("entry") == c.entry) & (F.col("signature") == e.signature))
                 rows = decode_event(mine, e).withColumn("dedupe_key", F.concat(log_key(F.col("block_hash"), F.col("transaction_hash"), F.col("log_index")), F.lit(f":{e.topic0}:{e.signature}:decoded")))
                 store.fill(t.name, rows)
-        for table, run in (derive or {}).items():
-            rows = run(with_sender(matched, store.read("transactions", low, high)))
-            key = derived_key(log_key(F.col("block_hash"), F.col("transaction_hash"), F.col("log_index")), table, F.col("row"))
-            store.fill(table, rows.withColumn("dedupe_key", key))
+        for table, run in derivations(catalog).items():
+            store.fill(table, run(with_sender(matched, store.read("transactions", low, high))))
     finally:
         matched.unpersist()
 
 
 def handoffs(contracts: DataFrame, queue: DataFrame, block_hash: str) -> DataFrame:
     """Contracts that a running pipeline must take over and that its queue lacks."""
-    new = contracts.withColumn("dedupe_key", F.concat_ws(":", F.lit(block_hash), F.col("address"), F.lit("handoff")))
+    new = contracts.withColumn("dedupe_key", handoff_key(F.lit(block_hash), F.col("address")))
     return new.join(queue.select("dedupe_key"), "dedupe_key", "left_anti")
 
 

@@ -122,9 +122,10 @@ def _wide(kind: str) -> bool:
     return kind.removeprefix("u").startswith("int") and digits.isdigit() and int(digits) > 64
 
 
-def derived_table(name: str, columns: str, indexes: tuple[tuple[str, ...], ...] = ()) -> TableDef:
-    """The table of a derivation: place, sender and recipient if known, own columns, block."""
-    return TableDef(name, (*_table("", f"{_LEADING} transaction_from_address? transaction_to_address?").columns, *_table("", columns).columns, *_table("", _PLACE).columns), kind="derived", indexes=indexes)
+def derived_table(name: str, columns: tuple[tuple[str, str], ...], indexes: tuple[tuple[str, ...], ...] = ()) -> TableDef:
+    """The table of a derivation: place, sender and recipient if known, own columns (name, kind), block."""
+    lead = _table("", f"{_LEADING} transaction_from_address? transaction_to_address?").columns
+    return TableDef(name, (*lead, *((n, k, False) for n, k in columns), *_table("", _PLACE).columns), kind="derived", indexes=indexes)
 
 
 def check_drift(df: DataFrame, table: TableDef) -> list[str]:
