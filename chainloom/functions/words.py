@@ -48,7 +48,7 @@ def u64(hexed: Column) -> Column:
     return F.conv(F.nullif(hexed, F.lit("")), 16, 10).cast("decimal(20,0)")
 
 
-def _bound(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """``use`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -61,14 +61,14 @@ def _sums(hexed: Column, bits: int) -> Column:
     n = bits // 32
     places = next(p for p in range(1, 9) if _BASE**p >= 1 << bits)
     weights = F.array(*[F.array(*[F.lit(str((1 << (32 * i)) // _BASE**j % _BASE)).cast("decimal(20,0)") for i in range(n)]) for j in range(places)])
-    pieces = _bound(F.lpad(hexed, 8 * n, "0"), lambda h: F.array(*[F.substring(h, 8 * (n - i) - 7, 8) for i in range(n)]))
+    pieces = once(F.lpad(hexed, 8 * n, "0"), lambda h: F.array(*[F.substring(h, 8 * (n - i) - 7, 8) for i in range(n)]))
     limbs = F.transform(pieces, lambda p: F.conv(p, 16, 10).cast("decimal(10,0)"))
 
     def part(held: Column) -> Column:
         times = lambda row: F.zip_with(held, row, lambda a, b: (a * b).cast("decimal(38,0)"))
         return F.transform(weights, lambda row: F.aggregate(times(row), F.lit(0).cast("decimal(38,0)"), lambda x, y: (x + y).cast("decimal(38,0)")))
 
-    return _bound(limbs, part)
+    return once(limbs, part)
 
 
 def _carried(sums: Column, plus: Column | None = None) -> Column:
@@ -86,24 +86,45 @@ def _carried(sums: Column, plus: Column | None = None) -> Column:
     return F.regexp_replace(text, "^0+(?=.)", "")
 
 
+def _two_limbs(hexed: Column, plus: Column | None = None) -> Column:
+    """Hex of 30 digits as decimal text, in one 38-digit multiplication; ``plus`` is added."""
+    high, low = F.conv(F.substring(hexed, 1, 14), 16, 10).cast("decimal(17,0)"), F.conv(F.substring(hexed, 15, 16), 16, 10).cast("decimal(20,0)")
+    value = high * F.lit(str(1 << 64)).cast("decimal(20,0)") + low
+    return (value if plus is None else value + plus.cast("decimal(1,0)")).cast("decimal(38,0)").cast("string")
+
+
 def decimal_text(hexed: Column, bits: int = 256) -> Column:
-    """Unsigned hex of at most ``bits`` (a multiple of 32) as decimal text; what fits 64 bits is read at once."""
-    rest = max(0, bits // 4 - 16)
-    return _bound(F.lpad(hexed, bits // 4, "0"), lambda h: F.when(F.substring(h, 1, rest) == "0" * rest, F.conv(F.substring(h, rest + 1, 16), 16, 10)).otherwise(_carried(_sums(h, bits))))
+    """Unsigned hex of at most ``bits`` (a multiple of 32) as decimal text; what fits 64 or 120 bits is read at once."""
+    rest, top = max(0, bits // 4 - 16), max(0, bits // 4 - 30)
+
+    def read(h: Column) -> Column:
+        short = F.when(F.substring(h, 1, rest) == "0" * rest, F.conv(F.substring(h, rest + 1, 16), 16, 10))
+        if top:
+            short = short.when(F.substring(h, 1, top) == "0" * top, _two_limbs(F.substring(h, top + 1, 30)))
+        return short.otherwise(_carried(_sums(h, bits)))
+
+    return once(F.lpad(hexed, bits // 4, "0"), read)
 
 
 def signed_text(hexed: Column, bits: int = 256) -> Column:
-    """Two's complement hex of exactly ``bits`` (a multiple of 32) as decimal text."""
+    """Two's complement hex of exactly ``bits`` (a multiple of 32) as decimal text; what fits 64 or 120 bits is read at once."""
+    rest, top = max(0, bits // 4 - 16), max(0, bits // 4 - 30)
 
     def read(h: Column) -> Column:
         negative = F.substring(h, 1, 1) >= "8"
-        magnitude = F.when(negative, F.translate(h, _HEX, _FLIPPED)).otherwise(h)
-        text = _carried(_sums(magnitude, bits), F.when(negative, 1).otherwise(0))
-        rest = max(0, bits // 4 - 16)
+        one = F.when(negative, 1).otherwise(0)
         fits = F.substring(h, 1, rest) == F.when(F.substring(h, rest + 1, 1) >= "8", "f" * rest).otherwise("0" * rest)
-        return F.when(fits, F.conv(F.substring(h, rest + 1, 16), 16, -10)).otherwise(F.concat(F.when(negative, "-").otherwise(""), text))
 
-    return _bound(hexed, read)
+        def magnitude(m: Column) -> Column:
+            text = _carried(_sums(m, bits), one)
+            if top:
+                text = F.when(F.substring(m, 1, top) == "0" * top, _two_limbs(F.substring(m, top + 1, 30), one)).otherwise(text)
+            return F.concat(F.when(negative, "-").otherwise(""), text)
+
+        flipped = F.when(negative, F.translate(h, _HEX, _FLIPPED)).otherwise(h)
+        return F.when(fits, F.conv(F.substring(h, rest + 1, 16), 16, -10)).otherwise(once(flipped, magnitude))
+
+    return once(hexed, read)
 
 
 def exact_sum(text: Column) -> Column:
@@ -116,7 +137,7 @@ def exact_sum(text: Column) -> Column:
     base = F.lit(str(_BASE)).cast("decimal(20,0)")
     top = lambda s: F.aggregate(s, F.lit(0).cast("decimal(38,0)"), lambda c, x: F.call_function("div", (x + c - F.pmod(x + c, base)).cast("decimal(38,0)"), base).cast("decimal(38,0)"))
     turned = lambda s: F.transform(s, lambda x: (-x).cast("decimal(38,0)"))
-    return _bound(parts, lambda s: F.when(top(s) < 0, F.concat(F.lit("-"), _carried(turned(s)))).otherwise(_carried(s)))
+    return once(parts, lambda s: F.when(top(s) < 0, F.concat(F.lit("-"), _carried(turned(s)))).otherwise(_carried(s)))
 
 
 def quantity(text: Column) -> Column:

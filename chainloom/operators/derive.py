@@ -39,8 +39,8 @@ class Derivation:
     indexes: tuple[tuple[str, ...], ...]
     #: (column, position, name, type) of the arguments that it reads.
     arguments: tuple[tuple[str, int, str, str], ...]
-    #: Rows from arguments as raw words, given the number of the signature.
-    rows: Callable[[DataFrame, int, list[str]], DataFrame]
+    #: Rows from arguments as raw words, given the signature's number as a column.
+    rows: Callable[[DataFrame, Column, list[str]], DataFrame]
 
     @property
     def entry(self) -> str:
@@ -187,35 +187,35 @@ def text_address(word: str) -> Column:
     return F.concat(F.lit("0x"), F.substring(word, 25, 40))
 
 
-def _swap_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+def _swap_rows(events: DataFrame, signature: Column, keep: list[str]) -> DataFrame:
     named = events.withColumns({"sender": text_address("sender_word"), "recipient": text_address("recipient_word")})
     return swaps(named, [*keep, "sender", "recipient"])
 
 
-def _fill_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+def _fill_rows(events: DataFrame, signature: Column, keep: list[str]) -> DataFrame:
     return bin_fills(events, keep)
 
 
-def _liquidity_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+def _liquidity_rows(events: DataFrame, signature: Column, keep: list[str]) -> DataFrame:
     """A bin beyond 16 bits or shares beyond a signed word leave the whole record without rows."""
     removed = signature == 1
     lowest = "8" + "0" * 63
-    fits = lambda w: (F.substring(w, 1, 1) < "8") | (F.lit(removed) & (w == lowest))
+    fits = lambda w: (F.substring(w, 1, 1) < "8") | (removed & (w == lowest))
     good = events.where(F.forall("bin_words", lambda w: int16(w).isNotNull()) & F.forall("share_words", fits))
     read = good.select(
-        *keep, text_address("owner_word").alias("owner"), decimal_text(F.col("salt_word")).alias("salt"), F.lit(removed).alias("removed"), F.transform("bin_words", int16).alias("bins"),
+        *keep, text_address("owner_word").alias("owner"), decimal_text(F.col("salt_word")).alias("salt"), removed.alias("removed"), F.transform("bin_words", int16).alias("bins"),
         F.transform("delta_words", lambda w: F.struct(signed_text(F.substring(w, 1, 64)).alias("delta0"), signed_text(F.substring(w, 65, 64)).alias("delta1"))).alias("deltas"),
         F.transform("share_words", lambda w: decimal_text(w)).alias("shares"),
     )
     return liquidity(read, [*keep, "owner", "salt"])
 
 
-def _ladder_rows(events: DataFrame, signature: int, keep: list[str]) -> DataFrame:
+def _ladder_rows(events: DataFrame, signature: Column, keep: list[str]) -> DataFrame:
     read = events.select(*keep, text_address("pool_word").alias("pool"), signed_small(field(F.col("lower_word"), 0, 24), 24).alias("bin0_lower"), "above", "below")
     return pool_bins(read, [*keep, "pool"])
 
 
-def _price_rows(events: DataFrame, signature: int, keep: list[str], read: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+def _price_rows(events: DataFrame, signature: Column, keep: list[str], read: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     return read(events.withColumn("feed_id", F.concat(F.lit("0x"), "feed_word")), keep)
 
 
@@ -358,7 +358,7 @@ def bound(catalog) -> list[tuple[Derivation, list[Event]]]:
 def arguments(logs: DataFrame, e: Event, wanted: tuple[tuple[str, int, str, str], ...]) -> DataFrame:
     """Readable logs of an event with some of its arguments as raw words."""
     topics = ["topic0", "topic1", "topic2", "topic3"]
-    keep = [c for c in (*PLACE, "transaction_input") if c in logs.columns]
+    keep = [c for c in (*PLACE, "transaction_input", "_number") if c in logs.columns]
 
     def raw(x: Callable[[str], Column]) -> list[Column]:
         return [raw_words(e, at, name, kind, [x(t) for t in topics], x("data")).alias(column) for column, at, name, kind in wanted]
@@ -380,11 +380,17 @@ def derived(matched: DataFrame, d: Derivation, events: list[Event]) -> DataFrame
     An event whose arguments are not the ones that the derivation reads gives no row, with a warning.
     """
     keep = [c for c in PLACE if c in matched.columns]
-    parts = []
+    number = F.lit(-1)
+    for i, e in enumerate(events):
+        number = F.when(F.col("signature") == e.signature, i).otherwise(number)
+    mine = matched.where(F.col("entry") == d.entry).withColumn("_number", number)
+    layouts: dict[tuple, list[int]] = {}  # events that differ by name only are read in one pass
     for i, e in enumerate(events):
-        mine = matched.where((F.col("entry") == d.entry) & (F.col("signature") == e.signature))
+        layouts.setdefault((e.params, e.anonymous, None if native(e) else i), []).append(i)
+    parts = []
+    for same in layouts.values():
         try:
-            parts.append(d.rows(arguments(mine, e, d.arguments), i, keep))
+            parts.append(d.rows(arguments(mine.where(F.col("_number").isin(same)), events[same[0]], d.arguments), F.col("_number"), keep))
         except ValueError as error:
             warnings.warn(f"{d.table}: {error}", stacklevel=2)
     if not parts:
