@@ -27,9 +27,12 @@ def topic_count() -> Column:
 def eligible(logs: DataFrame, contracts: DataFrame, events: DataFrame) -> DataFrame:
     """Logs of known contracts with a known event: by address and time, then by selector and topics.
 
-    The catalog's events are a few hundred rows from files on the driver, so they are broadcast.
+    The catalog's events are a few hundred rows from files on the driver, so they are broadcast. Logs with other
+    selectors, most of a chain's, go before logs are shuffled by their address.
     """
-    known = temporal_contracts(logs, contracts).withColumn("n_topics", topic_count())
+    selectors = events.select("topic0", F.col("topics").alias("n_topics")).distinct()
+    named = logs.withColumn("n_topics", topic_count()).join(F.broadcast(selectors), ["topic0", "n_topics"], "left_semi")
+    known = temporal_contracts(named, contracts)
     e = events.select(F.col("entry").alias("e_entry"), F.col("topic0").alias("e_topic0"), "topics", "signature", F.col("name").alias("event_name"))
     return known.join(F.broadcast(e), (F.col("entry") == F.col("e_entry")) & (F.col("topic0") == F.col("e_topic0")) & (F.col("n_topics") == F.col("topics"))).drop("e_entry", "e_topic0", "topics", "n_topics")
 
@@ -74,7 +77,8 @@ def created(logs: DataFrame, catalog: Catalog, parents: DataFrame) -> DataFrame:
 
     The address is read from its slot alone, so an unreadable log still creates; the zero address is none.
     """
-    known = temporal_contracts(logs, parents)
+    selectors = {e.topic0 for c in catalog.contracts for rule in c.created_by for e in catalog[rule.contract].named(rule.event)}
+    known = temporal_contracts(logs.where(F.col("topic0").isin(sorted(selectors))), parents)
     out = None
     for c in catalog.contracts:
         for rule in c.created_by:
