@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -347,15 +348,36 @@ def to_ndjson(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
+#: Column types of a SQL store by Spark's.
+SQL_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "decimal(20,0)": "DECIMAL(20,0)", "boolean": "BOOLEAN", "timestamp": "TIMESTAMPTZ"}
+
+
+#: Words of SQL that a column may only be called in quotes.
+RESERVED = frozenset(
+    "all and any array as asc both case cast check column constraint create default desc distinct do else end except false for foreign from grant group having in initially intersect into "
+    "lateral leading limit not null offset on only or order primary references returning select some symmetric table then to trailing true union unique user using variadic when where window with".split()
+)
+
+
+def named(column: str) -> str:
+    return f'"{column}"' if column in RESERVED else column
+
+
+def sql_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return SQL_TYPES[spark_type[6:-1]] + "[]"
+    return SQL_TYPES[spark_type]
+
+
 def create_table_sql(t: TableDef) -> str:
     """DDL of a SQL store with the key pair as its primary key."""
-    columns = [f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in t.schema().fields]
+    columns = [f"{named(f.name)} {sql_type(f.dataType.simpleString())}{'' if f.nullable else ' NOT NULL'}" for f in t.schema().fields]
     return f"CREATE TABLE IF NOT EXISTS {t.name} ({', '.join(columns)}, PRIMARY KEY (chain, dedupe_key))"
 
 
 def upsert_sql(t: TableDef, staging: str) -> str:
     """A staging table merged into the table by its key."""
-    names = [f.name for f in t.schema().fields]
+    names = [named(f.name) for f in t.schema().fields]
     changed = ", ".join(f"{n} = excluded.{n}" for n in names if n not in ("chain", "dedupe_key"))
     return f"INSERT INTO {t.name} ({', '.join(names)}) SELECT {', '.join(names)} FROM {staging} ON CONFLICT (chain, dedupe_key) DO UPDATE SET {changed}"
 
@@ -365,7 +387,26 @@ def index_sql(t: TableDef) -> list[str]:
     from chainloom.functions.names import fit_identifier
 
     indexes = list(t.indexes) + ([("chain", t.block_number)] if t.block_number else [])
-    return [f"CREATE INDEX IF NOT EXISTS {fit_identifier(t.name + '_' + '_'.join(i) + '_index')} ON {t.name} ({', '.join(i)})" for i in indexes]
+    return [f"CREATE INDEX IF NOT EXISTS {fit_identifier(t.name + '_' + '_'.join(i) + '_index')} ON {t.name} ({', '.join(map(named, i))})" for i in indexes]
+
+
+def delete_blocks_sql(t: TableDef, hashes: str, floor: int) -> str | None:
+    """Deletes the rows of blocks that a table ``hashes`` (``hash``) names, at or above a height; none for tables without blocks."""
+    if t.block_hash is None:
+        return None
+    return f"DELETE FROM {t.name} WHERE {t.block_number} >= {floor} AND {t.block_hash} IN (SELECT hash FROM {hashes})"
+
+
+def bulk_load(df: DataFrame, t: TableDef, path: str, execute: Callable[[str], object]) -> None:
+    """Rows into an embedded SQL store: executors write files to a shared folder, and one statement merges them.
+
+    ``execute`` runs SQL in a store that reads Parquet files; rows do not pass through the driver. Of copies of one key
+    one is kept, the last if the rows have ``seq``; loading twice is the same as once.
+    """
+    rows = last_copies(df, "seq") if "seq" in df.columns else df.dropDuplicates(["chain", "dedupe_key"])
+    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in t.schema().fields]).write.mode("overwrite").parquet(path)
+    execute(create_table_sql(t))
+    execute(upsert_sql(t, f"read_parquet('{path}/*.parquet')"))
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
