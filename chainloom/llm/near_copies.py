@@ -12,13 +12,17 @@ No pair links without its sets being compared.
 
 Pairs are not listed inside groups of copies. First all rows of a cluster are compared with the one
 in its middle. Where a cluster still holds several groups, each row is compared with the nearest
-of another group (by the bits that travel), and what is then still apart with all candidates of other groups; the trie join prunes
-node pairs that lie in one group.
+of another group (by the bits that travel). What is then still apart is compared inside the tasks: clusters that share
+rows go to one bin, where each text is read once, the sets outside each cluster's largest group are held, and all its
+rows are compared with them. A bin emits only links that join two of its groups, so its rows never grow with the
+number of pairs; there no error budget is applied.
 
 Scale: keys travel with 128 bits of the fingerprint. The width grows with the logarithm of the number of sets, so a key has
 some 256 sets by chance, and the number of keys follows from the width. Texts travel for candidates only.
 The candidates' ids are broadcast to the scan below ``BROADCAST_ROWS`` rows of four numbers; beyond, the same join shuffles.
 A middle with many candidates is sent to as many tasks as ``SHARE`` of them each need. All rows of one key are held by one task.
+A bin holds some ``HELD`` shingles; a cluster with more outside its largest group is dealt in blocks, each of which meets all rows of the
+cluster. The time of this comparison, not its rows, grows with a cluster's rows times those outside its largest group.
 
 Defined results: null text is the empty text; texts without words are equal; a text of fewer words
 than a shingle is one shingle; long texts are read whole; an id names one document, so texts that share an id share its
@@ -51,6 +55,8 @@ HOT = 4_096
 BROADCAST_ROWS = 200_000
 #: Candidates of one middle that a task compares, about.
 SHARE = 256
+#: Shingles that a bin holds, about.
+HELD = 1 << 20
 
 
 def differing(likeness: float) -> float:
@@ -226,7 +232,8 @@ def _clusters(likeness: float):
 def _across(likeness: float, nearest: bool):
     """Rows (hub, id) of candidates in one cluster but in different groups: for each row the nearest, or all.
 
-    Fingerprints come whole, as one column, or as the words of their heads.
+    Fingerprints come whole, as one column, or as the words of their heads. ``near_copies`` asks for the nearest only, since all are
+    as many as pairs.
     """
 
     def rows_of(hub, ids):
@@ -289,10 +296,147 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, likeness: float) -> D
     return cut(sent.mapInArrow(_compare(size, likeness), "u bigint, v bigint"))
 
 
+class _Bin:
+    """The sets that a bin holds, by unit, and which of its groups are joined so far."""
+
+    def __init__(self, likeness: float):
+        self.likeness = likeness
+        self.rows, self.units, self.number = [], None, {}
+        self.label = np.zeros(0, np.int64)
+        self.last, self.seen = None, set()
+
+    def repeated(self, i: int, s: np.ndarray) -> bool:
+        """Whether the id has come with this set before; ids come in order."""
+        if self.last != i:
+            self.last, self.seen = i, set()
+        known, new = len(self.seen), xxhash.xxh3_128_digest(s.tobytes())
+        self.seen.add(new)
+        return len(self.seen) == known
+
+    def hold(self, i: int, comp: int, s: np.ndarray, held: list, met: list) -> None:
+        if not self.repeated(i, s):
+            self.rows.append((i, comp, s, held, met))
+
+    def close(self):
+        """Links among what is held."""
+        if self.units is not None:
+            return
+        self.ids = [r[0] for r in self.rows]
+        self.comp = np.array([self._group(r[1]) for r in self.rows], np.int64)
+        self.size = np.array([len(r[2]) for r in self.rows], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.words, self.word = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in self.rows)]), return_inverse=True)
+        self.flag = np.zeros(len(self.words), bool)
+        units = {}
+        for k, r in enumerate(self.rows):
+            for x in r[3]:
+                units.setdefault(x, []).append(k)
+        self.units = {x: np.array(ks) for x, ks in units.items()}
+        rows, self.rows = self.rows, []
+        for k, (i, comp, s, held, met) in enumerate(rows):
+            yield from self._links(i, comp, s, [self.units[x][: np.searchsorted(self.units[x], k)] for x in held] + self._met(met))
+
+    def meet(self, i: int, comp: int, s: np.ndarray, met: list):
+        """Links of a row with what its units hold."""
+        yield from self.close()
+        if not self.repeated(i, s):
+            yield from self._links(i, comp, s, self._met(met))
+
+    def _met(self, met: list) -> list:
+        return [self.units[x] for x in met if x in self.units]
+
+    def _group(self, comp: int) -> int:
+        if comp not in self.number:
+            self.number[comp] = len(self.label)
+            self.label = np.append(self.label, len(self.label))
+        return self.number[comp]
+
+    def _links(self, i: int, comp: int, s: np.ndarray, found: list):
+        mine, n = self._group(comp), len(s)
+        at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        at = at[self.label[self.comp[at]] != self.label[mine]]
+        at = at[np.minimum(self.size[at], n) >= self.likeness * np.maximum(self.size[at], n) - 1e-6]
+        if not len(at):
+            return
+        size = self.size[at]
+        of = np.repeat(np.arange(len(at)), size)
+        word = self.word[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(len(of))]
+        where = np.minimum(np.searchsorted(self.words, s), max(0, len(self.words) - 1))
+        where = where[self.words[where] == s] if len(self.words) else where[:0]
+        self.flag[where] = True
+        both = np.bincount(of[self.flag[word]], minlength=len(at))
+        self.flag[where] = False
+        union = size + n - both
+        at = at[(both / np.maximum(union, 1) >= self.likeness) | (union == 0)]
+        for old, k in zip(*np.unique(self.label[self.comp[at]], return_index=True), strict=True):
+            self.label[self.label == old] = self.label[mine]
+            yield self.ids[at[k]], i
+
+
+def _apart(size: int, likeness: float):
+    """Links (u, v) between the groups of each bin; a bin's rows come in the order of ``first`` and id."""
+
+    def run(batches):
+        now, one = None, _Bin(likeness)
+        for batch in batches:
+            out = []
+            for low, number, first, i, comp, held, met, text in zip(*(batch.column(k) for k in range(8)), strict=True):
+                key, i, comp = (low.as_py(), number.as_py()), i.as_py(), comp.as_py()
+                if now != key:
+                    out += one.close()
+                    now, one = key, _Bin(likeness)
+                s = shingle_set(text.as_py() or b"", size)
+                if first.as_py() == 0:
+                    one.hold(i, comp, s, held.as_py(), met.as_py())
+                else:
+                    out += one.meet(i, comp, s, met.as_py())
+            yield _links_of(out)
+        yield _links_of(list(one.close()))
+
+    return run
+
+
+def _links_of(out: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["u", "v"])
+
+
+def joined(docs: DataFrame, rows: DataFrame, size: int, likeness: float) -> DataFrame:
+    """Links (u, v) that join what is alike in one cluster but in different groups.
+
+    ``rows`` has cluster, id, comp, n and low, the smallest comp of the cluster; ``docs`` has id and text (as bytes). Clusters with one
+    ``low`` share bins. A unit is a cluster or a block of one: it holds its share of the rows outside the largest group, and the rest meets them.
+    """
+    whole, group = Window.partitionBy("cluster"), Window.partitionBy("cluster", "comp")
+    rows = rows.withColumn("of", F.struct(F.count(F.lit(1)).over(group).alias("rows"), "comp"))
+    rows = rows.withColumn("out", F.col("comp") != F.max("of").over(whole)["comp"])
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("out"), F.col("n"))).over(whole) / HELD)))
+    rows = rows.withColumn("mine", F.when(F.col("out"), F.pmod(F.xxhash64("id"), "blocks")))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.coalesce("mine", F.lit(0).cast("long")), F.col("blocks") - 1)))
+    units = cut(rows.select("low", "id", "comp", "n", F.xxhash64("cluster", "block").alias("unit"), F.coalesce(F.col("block") == F.col("mine"), F.lit(False)).alias("held")))
+    bins = units.groupBy("low").agg(F.ceil(F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)) / HELD).alias("bins"))
+    placed = units.join(bins, "low").withColumn("bin", F.pmod(F.xxhash64("unit"), F.greatest(F.lit(1), "bins")))
+    need = placed.groupBy("low", "bin", "id").agg(F.min("comp").alias("comp"), F.collect_set(F.when(F.col("held"), F.col("unit"))).alias("held"), F.collect_set(F.when(~F.col("held"), F.col("unit"))).alias("met"))
+    need = cut(need.withColumn("first", F.when(F.size("held") > 0, 0).otherwise(1)).withColumnRenamed("id", "at"))
+    numbers = need.agg(F.sum(F.size("held") + F.size("met") + 5)).first()[0] or 0
+    few = F.broadcast(need) if numbers <= 4 * BROADCAST_ROWS else need
+    sent = docs.join(few, docs["id"] == few["at"]).select("low", "bin", "first", docs["id"], "comp", "held", "met", "text")
+    sent = sent.repartition(partitions(docs.sparkSession), "low", "bin").sortWithinPartitions("low", "bin", "first", "id")
+    return cut(sent.mapInArrow(_apart(size, likeness), "u bigint, v bigint"))
+
+
 def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("hub", "id").alias("low"), F.greatest("hub", "id").alias("high")).distinct()
 
 
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of clusters that hold several groups, with their group and the smallest of the cluster's (``comp`` and ``low``)."""
+    label = components(links)
+    comp = members.select("cluster", "id", "n", "a", "b").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"), "n", "a", "b")
+    whole = Window.partitionBy("cluster")
+    comp = comp.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole))
+    return cut(comp.where("low <> high").drop("high"))
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """Rows (id, component): the smallest id that links reach, itself included."""
     n = partitions(df.sparkSession)
@@ -303,25 +447,16 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     width, keys = layout(sets.count(), likeness)
     sent = named.mapInArrow(_keys(width, keys), "key bigint, a bigint, b bigint, n bigint, id bigint").repartition(n, "key").sortWithinPartitions("key")
     members = cut(sent.mapInArrow(_clusters(likeness), "cluster bigint, hub bigint, id bigint, near boolean, n bigint, a bigint, b bigint"))
-    pairs = members.where("near and hub <> id").select("hub", "id").distinct()
-    tested = cut(_unordered(pairs))
+    pairs = cut(members.where("near and hub <> id").select("hub", "id").distinct())
     links = verified(docs, pairs, shingle, likeness)
-    for nearest in (True, False):
-        label = components(links)
-        comp = members.select("cluster", "id", "n", "a", "b").distinct().join(label, F.col("id") == F.col("v"), "left").select("cluster", "id", F.coalesce("label", "id").alias("comp"), "n", "a", "b")
-        whole = Window.partitionBy("cluster")
-        comp = comp.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole))
-        rows = cut(comp.where("low <> high").drop("low", "high"))
-        if not rows.limit(1).count():
-            break
-        if not nearest:
-            rows = rows.drop("n", "a", "b").join(named, "id").select("cluster", "id", "comp", "n", "fp")
-        rows = rows.repartition(n, "cluster").sortWithinPartitions("cluster")
-        more = _unordered(rows.mapInArrow(_across(likeness, nearest), "hub bigint, id bigint")).join(tested, ["low", "high"], "left_anti")
-        more = cut(more)
-        tested = tested.unionByName(more)
-        found = verified(docs, more.select(F.col("low").alias("hub"), F.col("high").alias("id")), shingle, likeness)
-        links = links.unionByName(found)
+    rows = _unsettled(members, links)
+    if rows.limit(1).count():
+        rows = rows.drop("low").repartition(n, "cluster").sortWithinPartitions("cluster")
+        more = cut(_unordered(rows.mapInArrow(_across(likeness, True), "hub bigint, id bigint")).join(_unordered(pairs), ["low", "high"], "left_anti"))
+        links = links.unionByName(verified(docs, more.select(F.col("low").alias("hub"), F.col("high").alias("id")), shingle, likeness))
+        rows = _unsettled(members, links)
+    if rows.limit(1).count():
+        links = links.unionByName(joined(docs, rows, shingle, likeness))
     label = components(links)
     of_set = sets.select(F.col("print").alias("p"), F.col("id").alias("rep")).join(label, F.col("rep") == F.col("v"), "left").select("p", F.coalesce("label", "rep").alias("component"))
     return signed.join(of_set, F.col("print") == F.col("p"), "left").select(F.col("id").alias(id_col), "component")
